@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.scratch import discard, materialise
 
@@ -182,10 +182,7 @@ def pagerank_run(
                 state.drop(column).join(kept, "vertex", "left")
                 .withColumn(column, F.coalesce(F.col("value") / whole, F.lit(0.0))).drop("value")
             )
-    state = materialise(state, "ranks")
-    dangling = 0.0
-    if counts["dangling"]:
-        dangling = state.where("out_weight <= 0").agg(F.sum("rank")).first()[0]
+    state = materialise(state.withColumn("step", F.lit(None).cast("double")), "ranks")
 
     salted = edges.withColumn("salt", F.lit(0)) if counts["pieces"] == 1 else _spread(edges, degrees, edges_per_task)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -195,18 +192,24 @@ def pagerank_run(
     rounds, delta, converged = 0, None, False
     try:
         while rounds < max_iter and not converged:
-            before, state, moved, dangling = state, *_next_round(state, resident, alpha, dangling, counts["pieces"])
+            stuck = _sum(state.where("out_weight <= 0"), "rank") if counts["dangling"] else 0.0
+            before, state = state, materialise(_next_round(state, resident, alpha, stuck, counts["pieces"]), "ranks")
             discard(spark, before)
-            rounds, delta = rounds + 1, moved
-            converged = tol is not None and moved < tol
+            rounds += 1
+            if tol is not None:
+                delta = _sum(state, "step")
+                converged = delta < tol
     finally:
         resident.unpersist()
     return RankRun(state.select("vertex", F.col("rank").alias("pagerank")), rounds, delta, converged)
 
 
-def _next_round(
-    state: DataFrame, edges: DataFrame, alpha: float, dangling: float, pieces: int
-) -> tuple[DataFrame, float, float]:
+def _sum(df: DataFrame, column: str) -> float:
+    return float(df.agg(F.sum(column)).first()[0] or 0.0)
+
+
+def _next_round(state: DataFrame, edges: DataFrame, alpha: float, stuck: float, pieces: int) -> DataFrame:
+    """One round. ``stuck`` is the rank held by vertices without out-edges; it restarts everywhere."""
     salts: Column = F.lit(0) if pieces == 1 else F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     shares = state.where("out_weight > 0").select(
         F.col("vertex").alias("src"), (F.col("rank") / F.col("out_weight")).alias("share"), salts.alias("salt")
@@ -221,18 +224,10 @@ def _next_round(
     summed = inflow.unionByName(own).groupBy("vertex").agg(
         F.sum("inflow").alias("inflow"), *[F.max(c).alias(c) for c in carried]
     )
-    new_rank = alpha * F.col("inflow") + (1.0 - alpha + alpha * dangling) * F.col("teleport")
-    moved = Observation()
-    following = summed.select(
-        "vertex", new_rank.alias("rank"), "teleport", "out_weight", "pieces", F.abs(new_rank - F.col("rank")).alias("_step")
-    ).observe(
-        moved,
-        F.sum("_step").alias("delta"),
-        F.sum(F.when(F.col("out_weight") <= 0, F.col("rank"))).alias("dangling"),
-    ).drop("_step")
-    stored = materialise(following, "ranks")
-    seen = moved.get
-    return stored, float(seen["delta"]), float(seen["dangling"] or 0.0)
+    rank = alpha * F.col("inflow") + (1.0 - alpha + alpha * stuck) * F.col("teleport")
+    return summed.select(
+        "vertex", rank.alias("rank"), "teleport", "out_weight", "pieces", F.abs(rank - F.col("rank")).alias("step")
+    )
 
 
 def pagerank(edges: DataFrame, **options) -> DataFrame:

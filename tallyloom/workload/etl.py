@@ -95,11 +95,11 @@ _LINES = r"SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS v
 
 @query(
     f"""SELECT doc_id, value, replace(value, ' ', '|') AS words, CAST(len(string_split(value, ' ')) AS INTEGER) AS n_words
-        FROM ({_LINES}) WHERE regexp_matches(value, '(?i)line') AND NOT contains(value, 'apache') AND len(string_split(value, ' ')) > 2"""
+        FROM ({_LINES}) WHERE regexp_matches(value, '(?i)ther') AND NOT contains(value, 'Apache') AND len(string_split(value, ' ')) > 2"""
 )
 def text_etl(spark: SparkSession, sf: str) -> DataFrame:
     lines = lines_of(table(spark, sf, "documents").select("doc_id", "text"), "text")
-    return split_lines(lines).select(
+    return split_lines(lines, pattern="(?i)ther", excluded="Apache").select(
         "doc_id", "value", F.array_join("words_array", "|").alias("words"), F.size("words_array").alias("n_words")
     )
 

@@ -15,25 +15,25 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 RETURN_FLAGS = ["A", "N", "R"]
 
 _CATEGORY_AVERAGE = """
-SELECT 'Category_' || r.range AS category, round(avg(l_extendedprice), 4) AS avg_val
+SELECT 'Category_' || r.range AS category, round(avg(l_quantity), 6) AS avg_val
 FROM lineitem JOIN range(1000) r ON l_orderkey % 1000 = r.range GROUP BY 1"""
 
 
 def _join_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     large = table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") % 1000).alias("join_key"), F.col("l_extendedprice").alias("data_value")
+        (F.col("l_orderkey") % 1000).alias("join_key"), F.col("l_quantity").alias("data_value")
     )
     return large, category_dimension(spark, 1000)
 
 
 @query(_CATEGORY_AVERAGE)
 def hash_join_avg(spark: SparkSession, sf: str) -> DataFrame:
-    return join_average.category_average(*_join_sides(spark, sf)).withColumn("avg_val", F.round("avg_val", 4))
+    return join_average.category_average(*_join_sides(spark, sf)).withColumn("avg_val", F.round("avg_val", 6))
 
 
 @query(_CATEGORY_AVERAGE)
 def hash_join_avg_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return join_average.category_average_of_rows(*_join_sides(spark, sf)).withColumn("avg_val", F.round("avg_val", 4))
+    return join_average.category_average_of_rows(*_join_sides(spark, sf)).withColumn("avg_val", F.round("avg_val", 6))
 
 
 @query(

@@ -15,7 +15,7 @@ from tallyloom.workload.registry import query, table
 _VIEWS_SQL = """
 WITH sales AS (
   SELECT DISTINCT concat('s_', l_orderkey, '_', l_linenumber) AS sales_id, upper(trim(concat(' Product_', l_partkey, ' '))) AS product_name,
-         l_extendedprice AS price, CAST(l_quantity AS INTEGER) AS quantity_sold, CAST(l_shipdate AS DATE) AS date_of_sale,
+         floor(l_extendedprice) AS price, CAST(l_quantity AS INTEGER) AS quantity_sold, CAST(l_shipdate AS DATE) AS date_of_sale,
          concat('c_', l_suppkey) AS customer_id FROM lineitem),
 stock AS (
   SELECT concat('PRODUCT_', p_partkey) AS product_name, p_size AS shelf_life, concat(p_size % 11, CASE WHEN p_type = 'PROMO' THEN '% off' ELSE ' % off' END) AS contains_promotion,
@@ -56,7 +56,7 @@ def _views(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         "sales": lineitem.select(
             text("s_", number("l_orderkey"), "_", number("l_linenumber")).alias("sales_id"),
             text(" Product_", number("l_partkey"), " ").alias("product_name"),
-            F.col("l_extendedprice").alias("price"), F.col("l_quantity").cast("int").alias("quantity_sold"),
+            F.floor("l_extendedprice").cast("double").alias("price"), F.col("l_quantity").cast("int").alias("quantity_sold"),
             F.date_format("l_shipdate", "yyyy-M-d").alias("date_of_sale"), text("c_", number("l_suppkey")).alias("customer_id"),
         ),
         "stock": part.select(
@@ -221,12 +221,14 @@ def prev_next_sales(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT *, avg(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS ra FROM orders)
+    """WITH r AS (SELECT *, avg(floor(o_totalprice)) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS ra FROM orders)
        SELECT o_orderkey, o_orderpriority, round(ra, 4) AS running_avg, round(lag(ra) OVER w, 4) AS prev_avg, round(lead(ra) OVER w, 4) AS next_avg
        FROM r WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey)"""
 )
 def prev_next_few_keys(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderpriority", "o_orderdate", F.floor("o_totalprice").alias("o_totalprice")
+    )
     found = running_neighbours(
         orders, ["o_orderpriority"], "o_orderdate", "o_totalprice", ["o_orderkey"], block=F.trunc("o_orderdate", "month")
     )
