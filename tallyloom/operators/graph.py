@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.scratch import discard, materialise
 
@@ -118,16 +118,20 @@ def _one_value_per_vertex(given: DataFrame, vertices: DataFrame, what: str) -> t
     return kept, whole
 
 
-def _spread(edges: DataFrame, degrees: DataFrame, limit: int) -> DataFrame:
-    """Edges with a ``salt`` that cuts the out-edges of a heavy vertex into pieces of about ``limit``."""
-    heavy = degrees.where(F.col("pieces") > 1).select("src", "pieces")
-    if heavy.isEmpty():
-        return edges.withColumn("salt", F.lit(0))
-    heavy = materialise(heavy, "heavy-sources")
-    return edges.join(heavy, "src", "left").select(
-        "src", "dst", "weight",
-        F.pmod(F.xxhash64("dst"), F.coalesce("pieces", F.lit(1)).cast("bigint")).cast("int").alias("salt"),
-    )
+def _lay_out(edges: DataFrame, degrees: DataFrame, limit: int, pieces: int) -> tuple[DataFrame, list[str]]:
+    """Edges partitioned by the columns the shares are joined on, and those columns.
+
+    Usually that is the source. If some source has more than ``limit`` out-edges,
+    a ``salt`` cuts the edges of each such source into its number of pieces.
+    """
+    keys = ["src"]
+    if pieces > 1:
+        heavy = materialise(degrees.where("pieces > 1").select("src", "pieces"), "heavy-sources")
+        cut = F.pmod(F.xxhash64("dst"), F.coalesce("pieces", F.lit(1)).cast("bigint")).cast("int")
+        edges = edges.join(heavy, "src", "left").select("src", "dst", "weight", cut.alias("salt"))
+        keys = ["src", "salt"]
+    partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.repartition(partitions, *keys), keys
 
 
 def pagerank_run(
@@ -184,38 +188,39 @@ def pagerank_run(
             )
     state = materialise(state.withColumn("step", F.lit(None).cast("double")), "ranks")
 
-    salted = edges.withColumn("salt", F.lit(0)) if counts["pieces"] == 1 else _spread(edges, degrees, edges_per_task)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Laid out once by the join key; every round then moves only the shares.
-    resident = salted.repartition(partitions, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    laid_out, keys = _lay_out(edges, degrees, edges_per_task, counts["pieces"])
+    resident = laid_out.persist(StorageLevel.MEMORY_AND_DISK)
 
     rounds, delta, converged = 0, None, False
+    stuck, _ = _progress(state) if counts["dangling"] else (0.0, None)
     try:
         while rounds < max_iter and not converged:
-            stuck = _sum(state.where("out_weight <= 0"), "rank") if counts["dangling"] else 0.0
-            before, state = state, materialise(_next_round(state, resident, alpha, stuck, counts["pieces"]), "ranks")
+            before, state = state, materialise(_next_round(state, resident, keys, alpha, stuck), "ranks")
             discard(spark, before)
             rounds += 1
-            if tol is not None:
-                delta = _sum(state, "step")
-                converged = delta < tol
+            if counts["dangling"] or tol is not None:
+                stuck, delta = _progress(state)
+            converged = tol is not None and delta < tol
     finally:
         resident.unpersist()
     return RankRun(state.select("vertex", F.col("rank").alias("pagerank")), rounds, delta, converged)
 
 
-def _sum(df: DataFrame, column: str) -> float:
-    return float(df.agg(F.sum(column)).first()[0] or 0.0)
+def _progress(state: DataFrame) -> tuple[float, float]:
+    """Rank held by vertices without out-edges, and how far the ranks moved in the last round."""
+    row = state.agg(F.sum(F.when(F.col("out_weight") <= 0, F.col("rank"))), F.sum("step")).first()
+    return row[0] or 0.0, row[1] or 0.0
 
 
-def _next_round(state: DataFrame, edges: DataFrame, alpha: float, stuck: float, pieces: int) -> DataFrame:
-    """One round. ``stuck`` is the rank held by vertices without out-edges; it restarts everywhere."""
-    salts: Column = F.lit(0) if pieces == 1 else F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    shares = state.where("out_weight > 0").select(
-        F.col("vertex").alias("src"), (F.col("rank") / F.col("out_weight")).alias("share"), salts.alias("salt")
-    )
+def _next_round(state: DataFrame, edges: DataFrame, keys: list[str], alpha: float, stuck: float) -> DataFrame:
+    """One round. ``stuck`` restarts everywhere, as the teleport does."""
+    share = [F.col("vertex").alias("src"), (F.col("rank") / F.col("out_weight")).alias("share")]
+    if "salt" in keys:
+        share.append(F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("salt"))
+    shares = state.where("out_weight > 0").select(*share)
     carried = ["rank", "teleport", "out_weight", "pieces"]
-    inflow = edges.join(shares, ["src", "salt"]).select(
+    inflow = edges.join(shares, keys).select(
         F.col("dst").alias("vertex"),
         (F.col("share") * F.col("weight")).alias("inflow"),
         *[F.lit(None).cast(state.schema[c].dataType).alias(c) for c in carried],
