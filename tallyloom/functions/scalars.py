@@ -49,35 +49,38 @@ def label_with(prefix: str, value: Column | str) -> Column:
 # retried task or another cluster size gives the same table.
 
 
-def uniform(key: Column | str, salt: int) -> Column:
-    """Double in [0, 1) from a 64-bit hash of key and salt."""
-    return F.shiftrightunsigned(F.xxhash64(as_column(key), F.lit(salt)), 11) * F.lit(2.0**-53)
+def uniform_sql(key: str, salt: int) -> str:
+    """SQL text of a double in [0, 1) made from a 64-bit hash of the key column and the salt."""
+    return f"(shiftrightunsigned(xxhash64({key}, {salt}), 11) * {2.0**-53!r}D)"
 
 
-def uniform_int(key: Column | str, salt: int, low: int, high: int) -> Column:
+def uniform(key: str, salt: int) -> Column:
+    return F.expr(uniform_sql(key, salt))
+
+
+def uniform_int(key: str, salt: int, low: int, high: int) -> Column:
     """Whole number in low..high, both included."""
-    return (F.lit(low) + F.floor(uniform(key, salt) * (high - low + 1))).cast("int")
+    return F.expr(f"CAST({low} + floor({uniform_sql(key, salt)} * {high - low + 1}) AS int)")
 
 
-def uniform_real(key: Column | str, salt: int, low: float, high: float) -> Column:
-    return F.lit(float(low)) + uniform(key, salt) * float(high - low)
+def uniform_real(key: str, salt: int, low: float, high: float) -> Column:
+    return F.expr(f"{float(low)!r}D + {uniform_sql(key, salt)} * {float(high - low)!r}D")
 
 
-def normal(key: Column | str, salt: int) -> Column:
+def normal(key: str, salt: int) -> Column:
     """Standard normal value by the Box-Muller transform of two hashed uniforms."""
-    radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - uniform(key, salt)))
+    radius = F.expr(f"sqrt(-2.0D * ln(1.0D - {uniform_sql(key, salt)}))")
     return radius * F.cos(uniform(key, salt + 1_000_003) * 6.283185307179586)
 
 
-def bernoulli(key: Column | str, salt: int, p: float = 0.5) -> Column:
+def bernoulli(key: str, salt: int, p: float = 0.5) -> Column:
     return (uniform(key, salt) < p).cast("int")
 
 
-def choice(key: Column | str, salt: int, values: Sequence[str], weights: Sequence[float] | None = None) -> Column:
+def choice(key: str, salt: int, values: Sequence[str], weights: Sequence[float] | None = None) -> Column:
     """One of ``values``; equal odds unless weights are given."""
     if weights is None:
-        index = F.floor(uniform(key, salt) * len(values)).cast("int")
-        return F.get(F.array(*[F.lit(v) for v in values]), index)
+        return F.get(F.array(*[F.lit(v) for v in values]), uniform_int(key, salt, 0, len(values) - 1))
     u, whole, upto = uniform(key, salt), float(sum(weights)), 0.0
     chain = F
     for value, weight in zip(values[:-1], weights[:-1]):

@@ -215,23 +215,21 @@ def _progress(state: DataFrame) -> tuple[float, float]:
 
 def _next_round(state: DataFrame, edges: DataFrame, keys: list[str], alpha: float, stuck: float) -> DataFrame:
     """One round. ``stuck`` restarts everywhere, as the teleport does."""
-    share = [F.col("vertex").alias("src"), (F.col("rank") / F.col("out_weight")).alias("share")]
+    share = ["vertex AS src", "rank / out_weight AS share"]
     if "salt" in keys:
-        share.append(F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("salt"))
-    shares = state.where("out_weight > 0").select(*share)
-    carried = ["rank", "teleport", "out_weight", "pieces"]
-    inflow = edges.join(shares, keys).select(
-        F.col("dst").alias("vertex"),
-        (F.col("share") * F.col("weight")).alias("inflow"),
-        *[F.lit(None).cast(state.schema[c].dataType).alias(c) for c in carried],
+        share.append("explode(sequence(0, pieces - 1)) AS salt")
+    shares = state.where("out_weight > 0").selectExpr(*share)
+    carried = {"rank": "double", "teleport": "double", "out_weight": "double", "pieces": "int"}
+    inflow = edges.join(shares, keys).selectExpr(
+        "dst AS vertex", "share * weight AS inflow", *[f"CAST(NULL AS {kind}) AS {c}" for c, kind in carried.items()]
     )
-    own = state.select("vertex", F.lit(0.0).alias("inflow"), *carried)
-    summed = inflow.unionByName(own).groupBy("vertex").agg(
-        F.sum("inflow").alias("inflow"), *[F.max(c).alias(c) for c in carried]
+    own = state.selectExpr("vertex", "0.0D AS inflow", *carried)
+    summed = inflow.union(own).groupBy("vertex").agg(
+        F.expr("sum(inflow) AS inflow"), *[F.expr(f"max({c}) AS {c}") for c in carried]
     )
-    rank = alpha * F.col("inflow") + (1.0 - alpha + alpha * stuck) * F.col("teleport")
-    return summed.select(
-        "vertex", rank.alias("rank"), "teleport", "out_weight", "pieces", F.abs(rank - F.col("rank")).alias("step")
+    rank = f"({alpha!r}D * inflow + {1.0 - alpha + alpha * stuck!r}D * teleport)"
+    return summed.selectExpr(
+        "vertex", f"{rank} AS rank", "teleport", "out_weight", "pieces", f"abs({rank} - rank) AS step"
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.functions.scalars import (
-    bernoulli, choice, label_with, normal, uniform, uniform_int, uniform_real,
+    bernoulli, choice, label_with, normal, uniform, uniform_int, uniform_real, uniform_sql,
 )
 
 # Lowest and highest value of each banking column.
@@ -36,25 +36,27 @@ BANKING_FEATURES = list(BANKING_RANGES)
 WIDE_CATEGORIES = list("ABCDEFGHIJKLMNO")
 
 
-def _stepped(key: str, salt: int, low: float, high: float) -> Column:
-    """Low, low + 1, low + 2, ... with equal odds, never above high."""
-    value = F.lit(float(low)) + F.floor(uniform(key, salt) * (high - low + 1))
-    return F.least(value, F.lit(float(high))).cast("float")
+def _stepped(key: str, salt: int, low: float, high: float, name: str) -> str:
+    """SQL text of low, low + 1, low + 2, ... with equal odds, never above high.
+
+    Text, because a table of ten thousand such columns is then one call to Spark.
+    """
+    steps = f"floor({uniform_sql(key, salt)} * {float(high - low + 1)!r}D)"
+    return f"CAST(least({float(low)!r}D + {steps}, {float(high)!r}D) AS float) AS {name}"
 
 
 def banking(base: DataFrame, key: str = "id") -> DataFrame:
-    columns = [_stepped(key, i, low, high).alias(name) for i, (name, (low, high)) in enumerate(BANKING_RANGES.items())]
-    label = choice(key, 100, ["0", "1"], [9, 1]).cast("int").alias("fraud_trx")
-    return base.select(*columns, label)
+    columns = [_stepped(key, i, low, high, name) for i, (name, (low, high)) in enumerate(BANKING_RANGES.items())]
+    return base.selectExpr(*columns, f"CAST({uniform_sql(key, 100)} >= 0.9D AS int) AS fraud_trx")
 
 
 def wide(base: DataFrame, key: str = "id", columns: int = 10_000, id_range: int = 50_000_000) -> DataFrame:
     """``unique_id`` (drawn with replacement), ``col1`` and float columns up to ``columns`` in all."""
-    numbers = [_stepped(key, i, 1, 50_000_000).alias(f"col{i}") for i in range(2, columns)]
-    return base.select(
-        label_with("ID", uniform_int(key, 0, 1, id_range)).alias("unique_id"),
-        F.get(F.array(*[F.lit(c) for c in WIDE_CATEGORIES]), F.pmod(F.col(key), F.lit(len(WIDE_CATEGORIES))).cast("int")).alias("col1"),
-        *numbers,
+    categories = ", ".join(f"'{c}'" for c in WIDE_CATEGORIES)
+    return base.selectExpr(
+        f"concat('ID', CAST(1 + floor({uniform_sql(key, 0)} * {id_range}) AS bigint)) AS unique_id",
+        f"get(array({categories}), CAST(pmod({key}, {len(WIDE_CATEGORIES)}) AS int)) AS col1",
+        *[_stepped(key, i, 1, 50_000_000, f"col{i}") for i in range(2, columns)],
     )
 
 

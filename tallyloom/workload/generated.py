@@ -61,7 +61,7 @@ def gen_banking_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gen_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return datagen.wide(_base(spark, sf), columns=200)
+    return datagen.wide(_base(spark, sf), columns=40)
 
 
 _WIDE = {f"col{i}": (1, 50_000_000) for i in range(2, 40)}
@@ -69,7 +69,7 @@ _WIDE = {f"col{i}": (1, 50_000_000) for i in range(2, 40)}
 
 @query(_profile_sql(list(_WIDE)))
 def gen_wide_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return _profile(datagen.wide(_base(spark, sf), columns=200), _WIDE)
+    return _profile(datagen.wide(_base(spark, sf), columns=40), _WIDE)
 
 
 @query("SELECT substr('ABCDEFGHIJKLMNO', CAST(o_orderkey % 15 AS INTEGER) + 1, 1) AS col1, count(*) AS n_rows, count(*) AS n_ids FROM orders GROUP BY 1")

@@ -84,9 +84,9 @@ def graph_out_degree(spark: SparkSession, sf: str) -> DataFrame:
     return graph.out_degree(_weighted(spark, sf))
 
 
-@query(f"WITH e AS ({_WEIGHTED}) SELECT src, dst, round(weight / sum(weight) OVER (PARTITION BY src), 9) AS weight FROM e")
+@query(f"WITH e AS ({_WEIGHTED}) SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight FROM e")
 def graph_row_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.row_normalise(_weighted(spark, sf)).withColumn("weight", F.round("weight", 9))
+    return graph.row_normalise(_weighted(spark, sf))
 
 
 @query(
