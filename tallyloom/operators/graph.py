@@ -118,17 +118,32 @@ def _one_value_per_vertex(given: DataFrame, vertices: DataFrame, what: str) -> t
     return kept, whole
 
 
-def _lay_out(edges: DataFrame, degrees: DataFrame, limit: int, pieces: int) -> tuple[DataFrame, list[str]]:
+def _vertex_table(edges: DataFrame, edges_per_task: int) -> DataFrame:
+    """Every vertex with the total weight of its out-edges and the pieces they are cut into.
+
+    Both ends of an edge are summed together, so one partial aggregation finds
+    the vertices and their degrees.
+    """
+    ends = edges.selectExpr(
+        "inline(array(struct(src AS vertex, weight AS w, 1 AS n), struct(dst AS vertex, 0.0D AS w, 0 AS n)))"
+    )
+    return ends.groupBy("vertex").agg(F.expr("sum(w) AS out_weight"), F.expr("sum(n) AS n")).selectExpr(
+        "vertex", "out_weight", f"CAST(greatest(1, ceil(n / {edges_per_task})) AS int) AS pieces"
+    )
+
+
+def _lay_out(edges: DataFrame, nodes: DataFrame, pieces: int) -> tuple[DataFrame, list[str]]:
     """Edges partitioned by the columns the shares are joined on, and those columns.
 
-    Usually that is the source. If some source has more than ``limit`` out-edges,
-    a ``salt`` cuts the edges of each such source into its number of pieces.
+    Usually that is the source. If some source has too many out-edges for one
+    task, a ``salt`` cuts the edges of each such source into its number of pieces.
     """
     keys = ["src"]
     if pieces > 1:
-        heavy = materialise(degrees.where("pieces > 1").select("src", "pieces"), "heavy-sources")
-        cut = F.pmod(F.xxhash64("dst"), F.coalesce("pieces", F.lit(1)).cast("bigint")).cast("int")
-        edges = edges.join(heavy, "src", "left").select("src", "dst", "weight", cut.alias("salt"))
+        heavy = materialise(nodes.where("pieces > 1").selectExpr("vertex AS src", "pieces"), "heavy-sources")
+        edges = edges.join(heavy, "src", "left").selectExpr(
+            "src", "dst", "weight", "CAST(pmod(xxhash64(dst), coalesce(pieces, 1)) AS int) AS salt"
+        )
         keys = ["src", "salt"]
     partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return edges.repartition(partitions, *keys), keys
@@ -159,18 +174,11 @@ def pagerank_run(
     """
     spark = edges.sparkSession
     edges = materialise(edges.select("src", "dst", "weight"), "edges")
-    degrees = edges.groupBy("src").agg(
-        F.sum("weight").alias("out_weight"), F.ceil(F.count("*") / edges_per_task).cast("int").alias("pieces")
-    )
-    nodes = vertices_of(edges)
+    nodes = _vertex_table(edges, edges_per_task)
     if vertices is not None:
-        nodes = nodes.unionByName(vertices.select(F.col("vertex").cast("bigint").alias("vertex"))).distinct()
-    nodes = materialise(
-        nodes.join(degrees, nodes["vertex"] == degrees["src"], "left").select(
-            "vertex", F.coalesce("out_weight", F.lit(0.0)).alias("out_weight"), F.coalesce("pieces", F.lit(1)).alias("pieces")
-        ),
-        "vertices",
-    )
+        alone = vertices.selectExpr("CAST(vertex AS bigint) AS vertex", "0.0D AS out_weight", "1 AS pieces")
+        nodes = nodes.union(alone).groupBy("vertex").agg(F.expr("max(out_weight) AS out_weight"), F.expr("max(pieces) AS pieces"))
+    nodes = materialise(nodes, "vertices")
     counts = nodes.agg(
         F.count("*").alias("n"), F.count_if(F.col("out_weight") <= 0).alias("dangling"), F.max("pieces").alias("pieces")
     ).first()
@@ -189,7 +197,7 @@ def pagerank_run(
     state = materialise(state.withColumn("step", F.lit(None).cast("double")), "ranks")
 
     # Laid out once by the join key; every round then moves only the shares.
-    laid_out, keys = _lay_out(edges, degrees, edges_per_task, counts["pieces"])
+    laid_out, keys = _lay_out(edges, nodes, counts["pieces"])
     resident = laid_out.persist(StorageLevel.MEMORY_AND_DISK)
 
     rounds, delta, converged = 0, None, False

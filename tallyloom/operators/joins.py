@@ -31,8 +31,9 @@ def left_join_chain(fact: DataFrame, steps: Sequence[tuple[DataFrame, str]]) ->
     Neighbouring steps on one key are first joined with each other (full outer,
     without their null keys, which match nothing). That gives the same rows as
     the plain chain, also when keys repeat, but the large table meets each key
-    in a single join: it is shuffled once per key, and the join stays one whose
-    skewed partitions adaptive execution can split.
+    in a single join. The combined table is stored: its size is then known, and
+    beyond a broadcast both sides of the join come straight from a shuffle,
+    which is what adaptive execution needs to split a skewed partition.
     """
     grouped: list[tuple[str, list[DataFrame]]] = []
     for table, key in steps:
@@ -41,8 +42,12 @@ def left_join_chain(fact: DataFrame, steps: Sequence[tuple[DataFrame, str]]) ->
         else:
             grouped.append((key, [table]))
     for key, tables in grouped:
+        if len(tables) == 1:
+            fact = left_join(fact, tables[0], key)
+            continue
         known = [t.where(F.col(key).isNotNull()) for t in tables]
-        fact = left_join(fact, reduce(lambda a, b: a.join(b, key, "full"), known), key)
+        combined = materialise(reduce(lambda a, b: a.join(b, key, "full"), known), "combined")
+        fact = left_join(fact, combined, key)
     return fact
 
 

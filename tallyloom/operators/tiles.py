@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.scratch import discard, materialise
 
-TILE = "bi int, bj int, n int, m int, data array<double>"
+TILE = "bi bigint, bj bigint, n int, m int, data array<double>"
 
 # Largest right-hand matrix (in values) that is sent to every executor: 32 MiB.
 SMALL_MATRIX = 1 << 22
@@ -64,7 +64,10 @@ def _list_column(arrays: Sequence[np.ndarray]) -> pa.Array:
 
 
 def _batch(columns: dict[str, object]) -> pa.RecordBatch:
-    arrays = [v if isinstance(v, pa.Array) else pa.array(np.asarray(v, dtype=np.int32)) for v in columns.values()]
+    arrays = [
+        v if isinstance(v, pa.Array) else pa.array(np.asarray(v, dtype=np.int64 if name in ("bi", "bj", "k") else np.int32))
+        for name, v in columns.items()
+    ]
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
@@ -95,7 +98,7 @@ def from_rows(df: DataFrame, row: str, vector: str, rows: int, cols: int) -> Til
     ``row`` numbers the rows from 0.
     """
     tiles = df.select(
-        F.col(row).cast("int").alias("bi"), F.lit(0).alias("bj"), F.lit(1).alias("n"), F.lit(cols).alias("m"),
+        F.col(row).cast("bigint").alias("bi"), F.lit(0).cast("bigint").alias("bj"), F.lit(1).alias("n"), F.lit(cols).alias("m"),
         F.col(vector).cast("array<double>").alias("data"),
     )
     return TileMatrix(tiles, rows, cols, 1, cols)
@@ -111,8 +114,8 @@ def from_coordinates(
     if not unique:
         cells = cells.groupBy("i", "j").agg(F.sum("v").alias("v"))
     placed = cells.select(
-        F.floor(F.col("i") / tile_rows).cast("int").alias("bi"),
-        F.floor(F.col("j") / tile_cols).cast("int").alias("bj"),
+        F.floor(F.col("i") / tile_rows).alias("bi"),
+        F.floor(F.col("j") / tile_cols).alias("bj"),
         (F.col("i") % tile_rows).cast("int").alias("r"),
         (F.col("j") % tile_cols).cast("int").alias("c"),
         F.col("v").cast("double").alias("v"),
@@ -155,8 +158,8 @@ def random_matrix(spark: SparkSession, rows: int, cols: int, tile_rows: int, til
 def to_coordinates(x: TileMatrix) -> DataFrame:
     cells = x.tiles.select("bi", "bj", "m", F.posexplode("data").alias("p", "v"))
     return cells.select(
-        (F.col("bi") * x.tile_rows + F.floor(F.col("p") / F.col("m"))).cast("int").alias("i"),
-        (F.col("bj") * x.tile_cols + F.col("p") % F.col("m")).cast("int").alias("j"),
+        (F.col("bi") * x.tile_rows + F.floor(F.col("p") / F.col("m"))).alias("i"),
+        (F.col("bj") * x.tile_cols + F.col("p") % F.col("m")).alias("j"),
         "v",
     )
 
@@ -262,7 +265,7 @@ def rechunk(x: TileMatrix, tile_rows: int, tile_cols: int) -> TileMatrix:
             tile[r : r + n, c : c + m] = flat.reshape(n, m)
         return pa.Table.from_batches([_tile_batch([(bi, bj, tile)])])
 
-    pieces = x.tiles.mapInArrow(cut, "bi int, bj int, r int, c int, n int, m int, data array<double>")
+    pieces = x.tiles.mapInArrow(cut, "bi bigint, bj bigint, r int, c int, n int, m int, data array<double>")
     tiles = pieces.groupBy("bi", "bj").applyInArrow(assemble, TILE)
     return TileMatrix(tiles, rows, cols, tile_rows, tile_cols)
 
@@ -281,9 +284,9 @@ def _sum_products(products: DataFrame, blocks: int, fan_in: int) -> DataFrame:
     while blocks > 1:
         blocks = -(-blocks // fan_in)
         products = (
-            products.withColumn("k", F.floor(F.col("k") / fan_in).cast("int"))
+            products.withColumn("k", F.floor(F.col("k") / fan_in))
             .groupBy("bi", "bj", "k")
-            .applyInArrow(add, "bi int, bj int, k int, n int, m int, data array<double>")
+            .applyInArrow(add, "bi bigint, bj bigint, k bigint, n int, m int, data array<double>")
         )
     return products.select("bi", "bj", "n", "m", "data")
 
@@ -327,7 +330,7 @@ def matmul(a: TileMatrix, b: TileMatrix, fan_in: int = 32, small_limit: int = SM
     products = (
         left.join(right, ["k", "salt"])
         .select("bi", "bj", "k", "n", "inner", "m", "left", "right")
-        .mapInArrow(multiply, "bi int, bj int, k int, n int, m int, data array<double>")
+        .mapInArrow(multiply, "bi bigint, bj bigint, k bigint, n int, m int, data array<double>")
     )
     tiles = _sum_products(products, a.col_blocks, fan_in)
     return TileMatrix(tiles, a.rows, b.cols, a.tile_rows, b.tile_cols)
@@ -354,7 +357,7 @@ def _matmul_small(a: TileMatrix, b: TileMatrix, fan_in: int) -> TileMatrix:
                 }
             )
 
-    products = a.tiles.mapInArrow(multiply, "bi int, bj int, k int, n int, m int, data array<double>")
+    products = a.tiles.mapInArrow(multiply, "bi bigint, bj bigint, k bigint, n int, m int, data array<double>")
     return TileMatrix(_sum_products(products, a.col_blocks, fan_in), a.rows, across, a.tile_rows, across)
 
 
@@ -381,7 +384,7 @@ def gram(df: DataFrame, vector: str, cols: int) -> DataFrame:
         squares.select(F.posexplode("data").alias("p", "v"))
         .groupBy("p")
         .agg(F.sum("v").alias("v"))
-        .select(F.floor(F.col("p") / cols).cast("int").alias("i"), (F.col("p") % cols).alias("j"), "v")
+        .select(F.floor(F.col("p") / cols).alias("i"), (F.col("p") % cols).cast("bigint").alias("j"), "v")
     )
 
 

@@ -8,15 +8,18 @@ Row-level results come from joining the small result back.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _FIRST, _LAST = "_first", "_last"
 
 
-def _per_order_value(df: DataFrame, keys: Sequence[str], order: str, value: str, tie: Column | None) -> DataFrame:
+def _per_order_value(
+    df: DataFrame, keys: Sequence[str], order: str, value: str, tie: Column | None = None, sums: Mapping[str, Column] | None = None
+) -> DataFrame:
     ends = [] if tie is None else [F.min(tie).alias(_FIRST), F.max(tie).alias(_LAST)]
+    ends += [F.sum(c).alias(name) for name, c in (sums or {}).items()]
     return df.groupBy(*keys, order).agg(
         F.coalesce(F.sum(value), F.lit(0)).alias("_s"),
         F.count(value).alias("_c"),
@@ -92,7 +95,7 @@ def running_average(
     df: DataFrame, keys: Sequence[str], order: str, value: str, name: str = "running_avg", block: Column | None = None
 ) -> DataFrame:
     """Average of all rows of the key up to the row's order value, rows with the same value included."""
-    run = _running(_per_order_value(df, keys, order, value, None), keys, order, block)
+    run = _running(_per_order_value(df, keys, order, value), keys, order, block)
     slim = run.select(*keys, order, "running")
     return _join_back(df, slim, [*keys, order], F.col("running").alias(name))
 
@@ -135,18 +138,23 @@ def neighbour_totals(
     previous: str = "total_prev",
     following: str = "total_next",
     block: Column | None = None,
+    sums: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Per key, the sums of the lag and of the lead of the running average.
 
     Of the n rows with one order value, n-1 see their own running average and
-    one sees the neighbour's, so the row-level window is not needed.
+    one sees the neighbour's, so the row-level window is not needed. ``sums``
+    names further columns to add up on the way, in the same pass over the rows.
     """
-    run = _running(_per_order_value(df, keys, order, value, None), keys, order, block)
+    run = _running(_per_order_value(df, keys, order, value, sums=sums), keys, order, block)
 
     def summed(neighbour: str) -> Column:
         inner = F.when(F.col("_rows") > 1, (F.col("_rows") - 1) * F.col("running"))
-        return F.sum(F.when(inner.isNull() & F.col(neighbour).isNull(), None).otherwise(
-            F.coalesce(inner, F.lit(0.0)) + F.coalesce(F.col(neighbour), F.lit(0.0))
-        ))
+        seen = F.coalesce(inner, F.lit(0.0)) + F.coalesce(F.col(neighbour), F.lit(0.0))
+        return F.sum(F.when(inner.isNotNull() | F.col(neighbour).isNotNull(), seen))
 
-    return run.groupBy(*keys).agg(summed("before").alias(previous), summed("after").alias(following))
+    return run.groupBy(*keys).agg(
+        *[F.sum(name).alias(name) for name in sums or {}],
+        summed("before").alias(previous),
+        summed("after").alias(following),
+    )

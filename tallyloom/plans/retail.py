@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.functions.scalars import two_way
-from tallyloom.operators.aggregates import group_by_dict, group_stats, sum_of_product
+from tallyloom.operators.aggregates import group_by_dict, group_stats
 from tallyloom.operators.clean import clean_data, keep_containing, keep_known, keep_members, normalise_strings, parse_days
 from tallyloom.operators.joins import left_join_chain
 from tallyloom.operators.topk import sort_descending
@@ -125,18 +125,27 @@ def product_location_totals(data: DataFrame) -> DataFrame:
 
 
 def product_totals(data: DataFrame) -> DataFrame:
-    """Totals per product, with the sums of the neighbouring running averages, largest sales first."""
-    totals = group_stats(
-        data, ["product_name"],
-        total_quantity_in_stock=F.sum("quantity_in_stock"), average_price=F.avg("price"),
-        total_quantity_ordered=F.sum("quantity_ordered"), total_quantity_sold=F.sum("quantity_sold"),
-        total_sales=sum_of_product("price", "quantity_sold"),
+    """Totals per product, with the sums of the neighbouring running averages, largest sales first.
+
+    Everything is summed per product and day in one pass; the running averages
+    and the totals are made from those sums.
+    """
+    sums = {
+        "total_quantity_in_stock": F.col("quantity_in_stock"),
+        "_price": F.col("price"),
+        "_prices": F.col("price").isNotNull().cast("int"),
+        "total_quantity_ordered": F.col("quantity_ordered"),
+        "total_quantity_sold": F.col("quantity_sold"),
+        "total_sales": F.col("price") * F.col("quantity_sold"),
+    }
+    totals = neighbour_totals(data, **_BY_PRODUCT, previous="total_prev_sales", following="total_next_sales", sums=sums)
+    return sort_descending(
+        totals.select(
+            "product_name", "total_quantity_in_stock", F.try_divide("_price", "_prices").alias("average_price"),
+            "total_quantity_ordered", "total_quantity_sold", "total_sales", "total_prev_sales", "total_next_sales",
+        ),
+        "total_sales",
     )
-    neighbours = neighbour_totals(
-        data, **_BY_PRODUCT, previous="total_prev_sales", following="total_next_sales"
-    ).withColumnRenamed("product_name", "_product")
-    joined = totals.join(neighbours, totals["product_name"].eqNullSafe(neighbours["_product"])).drop("_product")
-    return sort_descending(joined, "total_sales")
 
 
 def run(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -12,7 +12,7 @@ from tallyloom.workload.registry import query, table
 
 COLS = 64
 
-_CELLS = """SELECT CAST(vec_id AS INTEGER) AS i, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"""
+_CELLS = """SELECT vec_id AS i, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"""
 _GRAM = f"SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM c a JOIN c b ON a.i = b.i GROUP BY ALL"
 
 
@@ -77,7 +77,7 @@ def matrix_transpose(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH n AS (SELECT count(*) AS rows FROM embeddings)
-        SELECT CAST(i // 120 AS INTEGER) AS bi, CAST(j // 25 AS INTEGER) AS bj, CAST(least(120, max(rows) - (i // 120) * 120) AS INTEGER) AS n,
+        SELECT i // 120 AS bi, j // 25 AS bj, CAST(least(120, max(rows) - (i // 120) * 120) AS INTEGER) AS n,
                CAST(least(25, 64 - (j // 25) * 25) AS INTEGER) AS m, count(*) AS n_values, round(sum(v), 5) AS total, round(sum(v * (i + 2 * j)), 3) AS placed
         FROM ({_CELLS}) CROSS JOIN n GROUP BY i // 120, j // 25"""
 )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import bucketise
 from tallyloom.operators import aggregates, joins, partitions
+from tallyloom.operators.windows import running_average
 from tallyloom.plans import join_average, part_stats, wide_pivot
 from tallyloom.sinks.writers import plan_text
 from tallyloom.sources import datagen
@@ -23,14 +24,12 @@ def test_left_chain_with_repeated_and_null_keys(spark, rows):
 
 
 def test_large_side_meets_each_key_once(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        fact = spark.range(1000).withColumn("k", F.col("id") % 7)
-        dims = [spark.range(7).select(F.col("id").alias("k"), F.lit(i).alias(f"d{i}")) for i in range(4)]
-        plan = joins.left_join_chain(fact, [(d, "k") for d in dims])._jdf.queryExecution().optimizedPlan().toString()
-        assert plan.count("LeftOuter") == 1 and plan.count("FullOuter") == 3
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    fact = spark.range(1000).withColumn("k", F.col("id") % 7)
+    dims = [spark.range(7).select(F.col("id").alias("k"), F.lit(i).alias(f"d{i}")) for i in range(4)]
+    chain = joins.left_join_chain(fact, [(d, "k") for d in dims])
+    plan = chain._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftOuter") == 1 and "FullOuter" not in plan
+    assert "BroadcastHashJoin" in plan_text(chain)
 
 
 def test_suffixes_only_where_names_collide(spark):
@@ -129,3 +128,59 @@ def test_replication_does_not_shuffle(spark, rows):
     assert out.columns == ["v"] and rows(out) == [(1,)] * 3 + [(2,)] * 3
     assert "Exchange" not in plan_text(out)
     assert rows(partitions.replicate_rows(df, 2, "n")) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Settings under which the test tables count as large and skewed."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def _hot(spark):
+    """120,000 rows, a third of them under one key."""
+    k = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1000)
+    load = F.xxhash64("id").alias("load")
+    return spark.range(0, 120_000, 1, 8).select("id", k.alias("k"), (F.col("id") % 50).alias("d"), F.lit(1.0).alias("v"), load)
+
+
+def _final_plan(df):
+    df.collect()
+    return plan_text(df, "simple").split("== Initial Plan ==")[0]
+
+
+def test_hot_keys_of_a_join_chain_are_split(spark, small_partitions):
+    dims = [(spark.range(1000).select(F.col("id").alias("k"), F.lit(i).alias(f"d{i}")), "k") for i in range(2)]
+    out = joins.left_join_chain(_hot(spark), dims).agg(F.count("*").alias("n"), F.sum("d1"), F.max("load"))
+    plan = _final_plan(out)
+    assert out.first()["n"] == 120_000
+    assert "skew=true" in plan.lower(), plan
+
+
+def test_hot_keys_of_a_running_average_are_split(spark, small_partitions):
+    rows = _hot(spark).withColumn("d", F.when(F.col("k") == 0, 7).otherwise(F.col("d")))
+    out = running_average(rows, ["k"], "d", "v").agg(F.count("*").alias("n"), F.sum("running_avg").alias("s"), F.max("load").alias("m"))
+    plan = _final_plan(out)
+    assert out.first()["n"] == 120_000 and out.first()["s"] == 120_000.0
+    assert "skew=true" in plan.lower(), plan
+
+
+def test_hot_keys_of_a_self_join_chain_are_split(spark, small_partitions):
+    hot = _hot(spark).select("k", "load")
+    one = spark.range(1000).select(F.col("id").alias("k"), F.lit(1).alias("x"))
+    out = joins.suffix_join_all([hot, one, one], "k").agg(F.count("*").alias("n"), F.max("load"))
+    plan = _final_plan(out)
+    assert out.first()["n"] == 120_000
+    assert "skew=true" in plan.lower(), plan
