@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.scratch import discard, materialise
+from tallyloom.scratch import discard, materialise, partitions_for
 
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -145,8 +145,7 @@ def _lay_out(edges: DataFrame, nodes: DataFrame, pieces: int) -> tuple[DataFrame
             "src", "dst", "weight", "CAST(pmod(xxhash64(dst), coalesce(pieces, 1)) AS int) AS salt"
         )
         keys = ["src", "salt"]
-    partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return edges.repartition(partitions, *keys), keys
+    return edges.repartition(partitions_for(edges), *keys), keys
 
 
 def pagerank_run(

@@ -13,6 +13,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def keyed(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """The table laid out by its key columns, for several joins or groupings on the same keys.
+
+    The keys stay ordinary columns. For a single join this is not needed: Spark
+    lays out both sides itself.
+    """
+    return df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+
+
 def part_counts(df: DataFrame, part: str, name: str = "n_rows") -> DataFrame:
     return df.groupBy(part).agg(F.count("*").alias(name))
 

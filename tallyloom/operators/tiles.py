@@ -7,7 +7,7 @@ tile (or one Arrow batch of tiles) at a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
@@ -71,6 +71,28 @@ def _batch(columns: dict[str, object]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
+def _packed(pieces: Iterable[tuple], values: int = 1 << 22) -> Iterator[list[tuple]]:
+    """Lists of pieces (their last item is an array) of about ``values`` values, made as they are needed."""
+    held, size = [], 0
+    for piece in pieces:
+        held.append(piece)
+        size += piece[-1].size
+        if size >= values:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _piece_batch(names: Sequence[str], pieces: Sequence[tuple]) -> pa.RecordBatch:
+    """Pieces as rows: the named numbers, the shape, the values."""
+    arrays = [p[-1] for p in pieces]
+    numbers = {name: [p[i] for p in pieces] for i, name in enumerate(names)}
+    return _batch(
+        {**numbers, "n": [a.shape[0] for a in arrays], "m": [a.shape[1] for a in arrays], "data": _list_column(arrays)}
+    )
+
+
 def _tile_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
     shape = zip(*[batch.column(c).to_pylist() for c in ("bi", "bj", "n", "m")])
     for (bi, bj, n, m), flat in zip(shape, _column_arrays(batch.column("data"))):
@@ -78,15 +100,7 @@ def _tile_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def _tile_batch(tiles: Sequence[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-    return _batch(
-        {
-            "bi": [t[0] for t in tiles],
-            "bj": [t[1] for t in tiles],
-            "n": [t[2].shape[0] for t in tiles],
-            "m": [t[2].shape[1] for t in tiles],
-            "data": _list_column([t[2] for t in tiles]),
-        }
-    )
+    return _piece_batch(("bi", "bj"), tiles)
 
 
 # --- building ---------------------------------------------------------------
@@ -216,7 +230,8 @@ def root_rounds(rounds: int = 50) -> Callable[[np.ndarray], np.ndarray]:
 def transpose(x: TileMatrix) -> TileMatrix:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _tile_batch([(bj, bi, tile.T) for bi, bj, tile in _tile_rows(batch)])
+            for some in _packed((bj, bi, tile.T) for bi, bj, tile in _tile_rows(batch)):
+                yield _tile_batch(some)
 
     return TileMatrix(x.tiles.mapInArrow(run, TILE), x.cols, x.rows, x.tile_cols, x.tile_rows)
 
@@ -242,20 +257,14 @@ def rechunk(x: TileMatrix, tile_rows: int, tile_cols: int) -> TileMatrix:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces = [
+            pieces = (
                 (ni, nj, r, c, tile[r0:r1, c0:c1])
                 for bi, bj, tile in _tile_rows(batch)
                 for ni, r, r0, r1 in cuts(bi * old_rows, tile.shape[0], tile_rows)
                 for nj, c, c0, c1 in cuts(bj * old_cols, tile.shape[1], tile_cols)
-            ]
-            yield _batch(
-                {
-                    "bi": [p[0] for p in pieces], "bj": [p[1] for p in pieces],
-                    "r": [p[2] for p in pieces], "c": [p[3] for p in pieces],
-                    "n": [p[4].shape[0] for p in pieces], "m": [p[4].shape[1] for p in pieces],
-                    "data": _list_column([p[4] for p in pieces]),
-                }
             )
+            for some in _packed(pieces):
+                yield _piece_batch(("bi", "bj", "r", "c"), some)
 
     def assemble(key: tuple, group: pa.Table) -> pa.Table:
         bi, bj = key[0].as_py(), key[1].as_py()
@@ -319,13 +328,14 @@ def matmul(a: TileMatrix, b: TileMatrix, fan_in: int = 32, small_limit: int = SM
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shape = {c: batch.column(c).to_pylist() for c in ("bi", "bj", "k", "n", "inner", "m")}
+            place = zip(*[batch.column(c).to_pylist() for c in ("bi", "bj", "k", "n", "inner", "m")])
             pairs = zip(_column_arrays(batch.column("left")), _column_arrays(batch.column("right")))
-            dots = [
-                l.reshape(n, i) @ r.reshape(i, m)
-                for (l, r), n, i, m in zip(pairs, shape["n"], shape["inner"], shape["m"])
-            ]
-            yield _batch({**{c: shape[c] for c in ("bi", "bj", "k", "n", "m")}, "data": _list_column(dots)})
+            dots = (
+                (bi, bj, k, x.reshape(n, inner) @ y.reshape(inner, m))
+                for (bi, bj, k, n, inner, m), (x, y) in zip(place, pairs)
+            )
+            for some in _packed(dots):
+                yield _piece_batch(("bi", "bj", "k"), some)
 
     products = (
         left.join(right, ["k", "salt"])
@@ -348,14 +358,11 @@ def _matmul_small(a: TileMatrix, b: TileMatrix, fan_in: int) -> TileMatrix:
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [(bi, bj, tile @ shared.value[bj * step : bj * step + tile.shape[1]]) for bi, bj, tile in _tile_rows(batch)]
-            yield _batch(
-                {
-                    "bi": [p[0] for p in parts], "bj": [0] * len(parts), "k": [p[1] for p in parts],
-                    "n": [p[2].shape[0] for p in parts], "m": [across] * len(parts),
-                    "data": _list_column([p[2] for p in parts]),
-                }
+            parts = (
+                (bi, 0, bj, tile @ shared.value[bj * step : bj * step + tile.shape[1]]) for bi, bj, tile in _tile_rows(batch)
             )
+            for some in _packed(parts):
+                yield _piece_batch(("bi", "bj", "k"), some)
 
     products = a.tiles.mapInArrow(multiply, "bi bigint, bj bigint, k bigint, n int, m int, data array<double>")
     return TileMatrix(_sum_products(products, a.col_blocks, fan_in), a.rows, across, a.tile_rows, across)

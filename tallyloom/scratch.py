@@ -43,6 +43,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(table: DataFrame, target_bytes: int = 64 << 20) -> int:
+    """Partitions for a stored table, by the size Spark knows, never fewer than the cores."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(table.sparkSession.sparkContext.defaultParallelism, -(-size // target_bytes))
+
+
 def discard(spark: SparkSession, table: DataFrame) -> None:
     """Delete the files of a superseded scratch table."""
     jvm = spark.sparkContext._jvm

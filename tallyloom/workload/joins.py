@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.operators.aggregates import column_stats, group_mean, pivot_mean
+from tallyloom.operators.aggregates import column_stats, group_mean, group_stats, pivot_mean, sum_of_product
 from tallyloom.operators.partitions import map_part_rows, part_counts, part_head, part_means, replicate_rows, total_rows, union_parts
 from tallyloom.plans import join_average, wide_pivot
 from tallyloom.sources.datagen import category_dimension
@@ -127,3 +127,15 @@ def replicated_rows(spark: SparkSession, sf: str) -> DataFrame:
 def column_summary(spark: SparkSession, sf: str) -> DataFrame:
     stats = column_stats(table(spark, sf, "lineitem"), "l_quantity")
     return stats.select(F.round("total", 2).alias("total"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(
+    """SELECT l_returnflag, l_linestatus, count(*) AS n_rows, sum(l_quantity * l_linenumber) AS weighted, round(avg(l_quantity), 6) AS mean,
+              round(stddev_samp(l_quantity), 6) AS std FROM lineitem GROUP BY ALL"""
+)
+def grouped_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return group_stats(
+        table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"],
+        n_rows=F.count("*"), weighted=sum_of_product("l_quantity", "l_linenumber"),
+        mean=F.round(F.avg("l_quantity"), 6), std=F.round(F.stddev_samp("l_quantity"), 6),
+    )

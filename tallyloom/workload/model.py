@@ -6,7 +6,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.operators import model as ops
-from tallyloom.operators.aggregates import group_mean
 from tallyloom.plans.classifier import score_scaled
 from tallyloom.scratch import scratch_path
 from tallyloom.workload.registry import query, table

@@ -122,6 +122,14 @@ def test_part_head_keeps_few_rows_per_task(spark):
     assert "WindowGroupLimit" in plan_text(head, "simple") and "Partial" in plan_text(head, "simple")
 
 
+def test_keyed_tables_share_one_layout(spark, small_partitions):
+    left = partitions.keyed(_hot(spark), "k", partitions=6)
+    joined = left.join(partitions.keyed(_hot(spark).select("k").distinct(), "k", partitions=6), "k")
+    assert "k" in joined.columns and joined.count() == 120_000
+    again = left.groupBy("k").count()
+    assert plan_text(again, "simple").count("Exchange") == 1
+
+
 def test_replication_does_not_shuffle(spark, rows):
     df = spark.createDataFrame([(1,), (2,)], "v int")
     out = partitions.replicate_rows(df, 3)
