@@ -14,6 +14,7 @@ from tallyloom.operators.joins import join_derived_dimension, with_derived_label
 AGE_BOUNDS = [30, 45, 60]
 AGE_LABELS = ["18-29", "30-44", "45-59", "60+"]
 
+# The balances that count as assets and as liabilities.
 ASSETS = ["bank_account_balance", "sec_bank_account_balance", "savings_account_balance", "sec_savings_account_balance"]
 LIABILITIES = ["credit_card_balance", "mortgage_balance", "primary_loan_balance", "secondary_loan_balance", "uni_loan_balance"]
 
