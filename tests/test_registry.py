@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 import check
+from tallyloom.workload.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,7 +13,7 @@ def con(sf):
 
 
 def test_every_query_without_sql_is_known():
-    without = set(entry_points.queries()) - set(entry_points.oracle_sql())
+    without = set(QUERIES) - set(ORACLES)
     assert without == {
         "rf_predict", "rf_accuracy", "batch_score", "gen_banking", "gen_banking_summary", "gen_wide", "gen_retail_sales", "gen_key_value"
     }
@@ -23,7 +24,7 @@ def test_entry(spark):
     assert df.count() == 12 and "txn_count" in df.columns
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, sf, name):
     problem = check.compare(spark, con, name, sf)
     # Some of the smallest tables may hold no match at all.
