@@ -85,15 +85,17 @@ def near_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     """``fp``, ``root`` for every fingerprint that has a neighbour within ``max_bits``; ``prints`` has distinct ``fp``."""
     variants = F.array(*[F.struct(F.lit(bit).alias("bit"), F.col("fp").bitwiseAND(F.lit(mask)).alias("rest")) for bit, mask in _masks(max_bits)])
     indexed = prints.select("fp", F.inline(variants))
-    buckets = indexed.groupBy("bit", "rest").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
-    members = materialise(indexed.join(buckets, ["bit", "rest"]), "simhash-members")
+    counted = indexed.groupBy("bit", "rest").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
+    buckets = materialise(counted.filter((F.col("n") > 2) | (F.col("n") == 2) & _near("low", "high", max_bits)), "simhash-buckets")
+    pairs = buckets.filter("n = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
+    members = materialise(indexed.join(buckets.filter("n > 2"), ["bit", "rest"]), "simhash-members")
     to_low = members.filter((F.col("fp") != F.col("low")) & _near("fp", "low", max_bits)).select(F.col("fp").alias("a"), F.col("low").alias("b"))
     to_high = members.filter((F.col("fp") != F.col("high")) & _near("fp", "high", max_bits)).select(F.col("fp").alias("a"), F.col("high").alias("b"))
-    first = materialise(components(to_low.union(to_high)), "simhash-first")
+    first = materialise(components(pairs.union(to_low).union(to_high)), "simhash-first")
 
-    # Buckets of two are settled. In larger ones, whoever is not with the first pivot meets the others of other components.
+    # A bucket of two is one pair. In larger ones, whoever is not with the first pivot meets the others of other components.
     known = first.withColumnRenamed("node", "fp")
-    larger = members.filter("n > 2").select("bit", "rest", "fp", "low").join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    larger = members.select("bit", "rest", "fp", "low").join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     leaders = known.select(F.col("fp").alias("low"), F.col("root").alias("low_root"))
     placed = materialise(larger.join(leaders, "low", "left").withColumn("low_root", F.coalesce("low_root", "low")), "simhash-placed")
     apart = placed.filter("root <> low_root").select("bit", "rest", F.col("fp").alias("x"), F.col("root").alias("a"))
