@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, mixing, simhash, toxicity
+from tallyloom.llm import bpe, mixing, secrets, simhash, toxicity
 from tallyloom.scratch import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,6 +33,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, docs["doc_id"] == kept["kept"], "left_semi").select(*COLUMNS)
 
 
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with every secret masked; n_chars follows the text."""
+    return secrets.masked(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated as often as their source's target asks for."""
     return mixing.mix(docs.select(*COLUMNS))
@@ -46,6 +51,7 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", not_toxic),
     ("near-duplicates", one_of_each),
+    ("secrets", without_secrets),
     ("mixing", mixed),
     ("bpe", tokenised),
 ]
