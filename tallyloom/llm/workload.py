@@ -1,4 +1,4 @@
 """Imports every module that registers a query of this subpackage."""
 
-from tallyloom.llm import bpe_queries, html_queries, imatch_queries, lm_queries, mixing_queries, secrets_queries, simhash_queries, toxicity_queries  # noqa: F401
+from tallyloom.llm import bpe_queries, html_queries, imatch_queries, lm_queries, mixing_queries, secrets_queries, simhash_queries, substring_queries, toxicity_queries  # noqa: F401
 from tallyloom.llm.registry import ORACLES, QUERIES  # noqa: F401
