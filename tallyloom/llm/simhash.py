@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
+from tallyloom.llm.tables import bit_array, has_bit
 from tallyloom.llm.text import lowered_words, rows
 from tallyloom.scratch import materialise
 
 BITS, SEED = 64, 42
+FILTER_LOG2 = 20
 PIECE = 1 << 16  # shingles whose bits are unpacked at once
 
 
@@ -88,16 +90,20 @@ def near_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     counted = indexed.groupBy("bit", "rest").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
     buckets = materialise(counted.filter((F.col("n") > 2) | (F.col("n") == 2) & _near("low", "high", max_bits)), "simhash-buckets")
     pairs = buckets.filter("n = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
-    members = materialise(indexed.join(buckets.filter("n > 2"), ["bit", "rest"]), "simhash-members")
+    larger = buckets.filter("n > 2")
+    # A filter of fixed size spares most variants the shuffle; the join that follows is exact whatever it lets through.
+    place = F.xxhash64("bit", "rest").bitwiseAND((1 << FILTER_LOG2) - 1)
+    likely = indexed.filter(has_bit(bit_array(larger.select(place.alias("position")), FILTER_LOG2), place))
+    members = materialise(likely.join(larger, ["bit", "rest"]), "simhash-members")
     to_low = members.filter((F.col("fp") != F.col("low")) & _near("fp", "low", max_bits)).select(F.col("fp").alias("a"), F.col("low").alias("b"))
     to_high = members.filter((F.col("fp") != F.col("high")) & _near("fp", "high", max_bits)).select(F.col("fp").alias("a"), F.col("high").alias("b"))
     first = materialise(components(pairs.union(to_low).union(to_high)), "simhash-first")
 
     # A bucket of two is one pair. In larger ones, whoever is not with the first pivot meets the others of other components.
     known = first.withColumnRenamed("node", "fp")
-    larger = members.select("bit", "rest", "fp", "low").join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    crowded = members.select("bit", "rest", "fp", "low").join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     leaders = known.select(F.col("fp").alias("low"), F.col("root").alias("low_root"))
-    placed = materialise(larger.join(leaders, "low", "left").withColumn("low_root", F.coalesce("low_root", "low")), "simhash-placed")
+    placed = materialise(crowded.join(leaders, "low", "left").withColumn("low_root", F.coalesce("low_root", "low")), "simhash-placed")
     apart = placed.filter("root <> low_root").select("bit", "rest", F.col("fp").alias("x"), F.col("root").alias("a"))
     others = placed.select("bit", "rest", F.col("fp").alias("y"), F.col("root").alias("b"))
     late = apart.join(others, ["bit", "rest"]).filter((F.col("a") != F.col("b")) & _near("x", "y", max_bits)).select("a", "b").distinct()
