@@ -44,7 +44,7 @@ from tallyloom.scratch import materialise
 LENGTH, GRAM = 100, 24
 REACH = LENGTH - GRAM  # the farthest that an anchor is from the start of its string
 STEPS = REACH + 1
-BLOCK_BYTES, PIECE = 8 << 20, 1 << 19
+BLOCK_BYTES, PIECE = 4 << 20, 1 << 18
 HOT, CHUNK = 4096, 11
 LAST_ID = np.iinfo(np.int64).max
 _P, _M = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
