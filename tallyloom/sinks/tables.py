@@ -17,12 +17,16 @@ def overwrite_table(df: DataFrame, name: str, using: str = "parquet") -> None:
 def append_or_create(df: DataFrame, name: str, using: str = "parquet", **properties: str) -> str:
     """Append a batch, creating the table only if it is absent; returns what was done.
 
-    An append that fails raises and leaves the stored rows alone. Set ``using``
+    A batch must have the table's columns, in any order: one that lacks some or
+    brings others raises, so that nothing is dropped without a word. An append
+    that fails raises and leaves the stored rows alone. Set ``using``
     to another table format where its connector is installed.
     """
     if df.sparkSession.catalog.tableExists(name):
         # By name, so a batch whose columns come in another order lands right.
         columns = df.sparkSession.table(name).columns
+        if odd := set(columns) ^ set(df.columns):
+            raise ValueError(f"columns that only the table or only the batch has: {sorted(odd)}")
         df.select(*columns).write.format(using).mode("append").saveAsTable(name)
         return "appended"
     df.write.format(using).options(**properties).saveAsTable(name)

@@ -46,8 +46,11 @@ def show(df: DataFrame, n: int = 20) -> None:
 
 
 def gather(df: DataFrame, n: int = 1000) -> list[Row]:
-    """At most ``n`` rows of a small result, for the driver."""
-    return df.limit(n).collect()
+    """The rows of a small result, for the driver; raises if there are more than ``n``."""
+    found = df.limit(n + 1).collect()
+    if len(found) > n:
+        raise ValueError(f"more than {n} rows")
+    return found
 
 
 def plan_text(df: DataFrame, mode: str = "formatted") -> str:

@@ -85,3 +85,18 @@ def test_cleaning_and_topk(spark, rows):
     assert topk.first_rows(df, 2).count() == 2
     assert [r["id"] for r in topk.sort_descending(df, "id").collect()] == [3, 2, 1, 1]
     assert rows(df.drop("nothing")) == rows(df)
+
+
+def test_append_refuses_other_columns(spark):
+    batch = spark.range(3).withColumn("name", F.lit("x"))
+    tables.create_database(spark, "strict")
+    tables.append_or_create(batch, "strict.rows")
+    with pytest.raises(ValueError, match="extra"):
+        tables.append_or_create(batch.withColumn("extra", F.lit(1)), "strict.rows")
+    assert spark.table("strict.rows").count() == 3
+
+
+def test_gather_refuses_to_cut(spark):
+    assert len(writers.gather(spark.range(5), 5)) == 5
+    with pytest.raises(ValueError, match="more than 4"):
+        writers.gather(spark.range(5), 4)
