@@ -139,13 +139,15 @@ def _lay_out(edges: DataFrame, nodes: DataFrame, pieces: int) -> tuple[DataFrame
     task, a ``salt`` cuts the edges of each such source into its number of pieces.
     """
     keys = ["src"]
+    # From the stored edges: after the join Spark would guess the product of both sides.
+    partitions = partitions_for(edges)
     if pieces > 1:
         heavy = materialise(nodes.where("pieces > 1").selectExpr("vertex AS src", "pieces"), "heavy-sources")
         edges = edges.join(heavy, "src", "left").selectExpr(
             "src", "dst", "weight", "CAST(pmod(xxhash64(dst), coalesce(pieces, 1)) AS int) AS salt"
         )
         keys = ["src", "salt"]
-    return edges.repartition(partitions_for(edges), *keys), keys
+    return edges.repartition(partitions, *keys), keys
 
 
 def pagerank_run(

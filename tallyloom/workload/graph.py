@@ -12,7 +12,7 @@ from tallyloom.operators import graph
 from tallyloom.sources.mtx import read_mtx, write_mtx
 from tallyloom.workload.registry import query, table
 
-ROUNDS = 10
+ROUNDS, MAX_ITER, TOL = 10, 100, 1e-5
 
 _DIRECTED = "SELECT l_suppkey AS src, l_partkey AS dst, CAST({w} AS DOUBLE) AS weight FROM lineitem GROUP BY ALL"
 _WEIGHTED = _DIRECTED.format(w="sum(l_quantity)")
@@ -23,7 +23,7 @@ _UNDIRECTED = """SELECT src, dst, min(weight) AS weight FROM (
 
 
 def _rank_sql(edges: str, teleport: str = "SELECT vertex, 1.0::DOUBLE / (SELECT count(*) FROM v) AS t FROM v",
-              start: str = "SELECT vertex, 1.0::DOUBLE / (SELECT count(*) FROM v) AS r FROM v") -> str:
+              start: str = "SELECT vertex, 1.0::DOUBLE / (SELECT count(*) FROM v) AS r FROM v", rounds: int = ROUNDS) -> str:
     """PageRank with every round written out."""
     parts = [
         f"WITH e AS MATERIALIZED ({edges})",
@@ -32,7 +32,7 @@ def _rank_sql(edges: str, teleport: str = "SELECT vertex, 1.0::DOUBLE / (SELECT
         f"tp AS MATERIALIZED ({teleport})",
         f"r0 AS MATERIALIZED ({start})",
     ]
-    for k in range(ROUNDS):
+    for k in range(rounds):
         parts.append(
             f"""r{k + 1} AS MATERIALIZED (
   SELECT v.vertex, 0.85::DOUBLE * coalesce(i.s, 0) + (0.15::DOUBLE + 0.85::DOUBLE * d.m) * tp.t AS r
@@ -44,6 +44,12 @@ def _rank_sql(edges: str, teleport: str = "SELECT vertex, 1.0::DOUBLE / (SELECT
 
 
 _RANKS = f"\nSELECT vertex, round(r, 9) AS pagerank FROM r{ROUNDS}"
+# The ranks of the first round that moved them by less than the tolerance, or of the last round.
+_MOVED = ", ".join(f"(SELECT sum(abs(a.r - b.r)) FROM r{k} a JOIN r{k - 1} b USING (vertex))" for k in range(1, MAX_ITER + 1))
+_CONVERGED = (
+    f",\nstop AS MATERIALIZED (SELECT coalesce(list_position(list_transform([{_MOVED}], lambda d: d < {TOL}), true), {MAX_ITER}) AS k)\n"
+    + "\nUNION ALL ".join(f"SELECT vertex, round(r, 9) AS pagerank FROM r{k} WHERE (SELECT k FROM stop) = {k}" for k in range(1, MAX_ITER + 1))
+)
 _SUPPLIER_TELEPORT = """SELECT v.vertex, coalesce(p.x / (SELECT sum(s_acctbal) FROM supplier JOIN v ON s_suppkey = vertex WHERE s_acctbal > 0), 0) AS t
   FROM v LEFT JOIN (SELECT s_suppkey AS vertex, s_acctbal AS x FROM supplier WHERE s_acctbal > 0) p USING (vertex)"""
 
@@ -118,6 +124,13 @@ def pagerank_undirected(spark: SparkSession, sf: str) -> DataFrame:
     return _ranks(_undirected(spark, sf))
 
 
+@query(_rank_sql(_UNDIRECTED, rounds=MAX_ITER) + _CONVERGED)
+def pagerank_converged(spark: SparkSession, sf: str) -> DataFrame:
+    """Until the ranks move by less than the tolerance."""
+    ranks = graph.pagerank(_undirected(spark, sf), max_iter=MAX_ITER, tol=TOL)
+    return ranks.select("vertex", F.round("pagerank", 9).alias("pagerank"))
+
+
 @query(_rank_sql(_WEIGHTED, _SUPPLIER_TELEPORT) + _RANKS)
 def pagerank_personalised(spark: SparkSession, sf: str) -> DataFrame:
     wanted = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("vertex"), F.col("s_acctbal").alias("value"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import graph
 from tallyloom.plans import ranking
+from tallyloom.scratch import materialise, partitions_for
 from tallyloom.sinks.writers import plan_text
 from tallyloom.sources.mtx import read_mtx, write_mtx
 
@@ -164,3 +165,13 @@ def test_mtx_rejects_other_headers(spark, tmp_path, header):
     path.write_text(header + "\n1 1 1\n1 1 1\n")
     with pytest.raises(ValueError):
         read_mtx(spark, str(path))
+
+
+def test_layout_of_a_hot_source_is_sized_by_the_edges(spark, monkeypatch):
+    edges = materialise(spark.range(20_000).selectExpr("id % 50 AS src", "id AS dst", "1.0D AS weight"), "edges")
+    nodes = spark.range(50).selectExpr("id AS vertex", "400.0D AS out_weight", "4 AS pieces")
+    asked = []
+    monkeypatch.setattr(graph, "partitions_for", lambda table: asked.append(table) or partitions_for(table))
+    laid_out, keys = graph._lay_out(edges, nodes, 4)
+    assert keys == ["src", "salt"] and laid_out.select("src", "salt").distinct().count() == 200
+    assert asked == [edges] and laid_out.rdd.getNumPartitions() <= partitions_for(edges)
