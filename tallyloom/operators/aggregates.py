@@ -30,11 +30,19 @@ def sum_of_product(a: Column | str, b: Column | str) -> Column:
     return F.sum(as_column(a) * as_column(b))
 
 
+def categories_of(df: DataFrame, column: str, most: int = 1000) -> list:
+    """The distinct values of a column in order, without null; more than ``most`` raise, so that none is left out."""
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(r[0] for r in found)
+
+
 def pivot_mean(df: DataFrame, index: str, category: str, value: str, categories: Sequence[str]) -> DataFrame:
     """One row per index, one mean per category.
 
-    The categories are given, so no extra pass looks for them and the output
-    columns do not depend on the data.
+    The categories are given, so the output columns do not depend on the data;
+    :func:`categories_of` finds those of a table.
     """
     return df.groupBy(index).pivot(category, list(categories)).agg(F.avg(value))
 

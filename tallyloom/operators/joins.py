@@ -29,9 +29,10 @@ def left_join_chain(fact: DataFrame, steps: Sequence[tuple[DataFrame, str]]) ->
     """``fact`` left-joined with every (table, key) in turn.
 
     Neighbouring steps on one key are first joined with each other (full outer,
-    without their null keys, which match nothing). That gives the same rows as
-    the plain chain, also when keys repeat, but the large table meets each key
-    in a single join. The combined table is stored: its size is then known, and
+    and only for keys that the fact has). That gives the same rows as the plain
+    chain, also when keys repeat, but the large table meets each key in a single
+    join, and rows of a key that the fact lacks are never multiplied with each
+    other. The combined table is stored: its size is then known, and
     beyond a broadcast both sides of the join come straight from a shuffle,
     which is what adaptive execution needs to split a skewed partition.
     """
@@ -45,7 +46,8 @@ def left_join_chain(fact: DataFrame, steps: Sequence[tuple[DataFrame, str]]) ->
         if len(tables) == 1:
             fact = left_join(fact, tables[0], key)
             continue
-        known = [t.where(F.col(key).isNotNull()) for t in tables]
+        asked = materialise(fact.where(F.col(key).isNotNull()).select(key).distinct(), "keys")
+        known = [t.join(asked, key, "left_semi") for t in tables]
         combined = materialise(reduce(lambda a, b: a.join(b, key, "full"), known), "combined")
         fact = left_join(fact, combined, key)
     return fact

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.operators.aggregates import column_stats, group_mean, group_stats, pivot_mean, sum_of_product
+from tallyloom.operators.aggregates import categories_of, column_stats, group_mean, group_stats, pivot_mean, sum_of_product
 from tallyloom.operators.partitions import map_part_rows, part_counts, part_head, part_means, replicate_rows, total_rows, union_parts
 from tallyloom.plans import join_average, wide_pivot
 from tallyloom.sources.datagen import category_dimension
 from tallyloom.workload.registry import query, table
 
-# The categories of the stored events and return flags.
+# The categories that the SQL names; the queries take them from the data.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 RETURN_FLAGS = ["A", "N", "R"]
 
@@ -54,8 +54,9 @@ _FILTERED = ", ".join(f"round(avg(value) FILTER (WHERE event_type = '{t}'), 6) A
 @query(f"SELECT user_id, {_FILTERED} FROM events GROUP BY user_id")
 def join_pivot_mean(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
-    means = wide_pivot.join_pivot([events] * 5, "user_id", "event_type", "value", EVENT_TYPES)
-    return means.select("user_id", *[F.round(t, 6).alias(t) for t in EVENT_TYPES])
+    types = categories_of(events, "event_type")
+    means = wide_pivot.join_pivot([events] * 5, "user_id", "event_type", "value", types)
+    return means.select("user_id", *[F.round(t, 6).alias(t) for t in types])
 
 
 @query(
@@ -64,8 +65,10 @@ def join_pivot_mean(spark: SparkSession, sf: str) -> DataFrame:
     + " FROM lineitem GROUP BY l_suppkey"
 )
 def pivot_mean_by_supplier(spark: SparkSession, sf: str) -> DataFrame:
-    means = pivot_mean(table(spark, sf, "lineitem"), "l_suppkey", "l_returnflag", "l_quantity", RETURN_FLAGS)
-    return means.select("l_suppkey", *[F.round(f, 6).alias(f"flag_{f}") for f in RETURN_FLAGS])
+    items = table(spark, sf, "lineitem")
+    flags = categories_of(items, "l_returnflag")
+    means = pivot_mean(items, "l_suppkey", "l_returnflag", "l_quantity", flags)
+    return means.select("l_suppkey", *[F.round(f, 6).alias(f"flag_{f}") for f in flags])
 
 
 def _parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +116,8 @@ def part_map(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n_rows, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def union_of_parts(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select("event_type", "value")
-    whole = union_parts([events.where(F.col("event_type") == t) for t in EVENT_TYPES])
+    parts = [F.col("event_type").eqNullSafe(F.lit(t)) for t in [*categories_of(events, "event_type"), None]]
+    whole = union_parts([events.where(part) for part in parts])
     return whole.groupBy("event_type").agg(F.count("*").alias("n_rows"), F.round(F.sum("value"), 2).alias("total"))
 
 

@@ -3,8 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom import scratch
 from tallyloom.functions.scalars import bucketise
 from tallyloom.operators import aggregates, joins, partitions
+from tallyloom.operators.aggregates import categories_of
 from tallyloom.operators.windows import running_average
 from tallyloom.plans import join_average, part_stats, wide_pivot
 from tallyloom.sinks.writers import plan_text
@@ -192,3 +194,28 @@ def test_hot_keys_of_a_self_join_chain_are_split(spark, small_partitions):
     plan = _final_plan(out)
     assert out.first()["n"] == 120_000
     assert "skew=true" in plan.lower(), plan
+
+
+def test_chain_stores_no_product_of_keys_the_fact_lacks(spark, monkeypatch):
+    sizes = []
+
+    def counted(df, label):
+        stored = scratch.materialise(df, label)
+        if label == "combined":
+            sizes.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(joins, "materialise", counted)
+    fact = spark.createDataFrame([(1, "f"), (None, "n")], "k int, v string")
+    one = spark.createDataFrame([(1, 5), (1, 6)] + [(9, i) for i in range(50)], "k int, a int")
+    two = spark.createDataFrame([(1, 7)] + [(9, i) for i in range(50)], "k int, b int")
+    got = joins.left_join_chain(fact, [(one, "k"), (two, "k")]).collect()
+    assert sorted(map(str, got)) == sorted(map(str, joins.left_join(joins.left_join(fact, one, "k"), two, "k").collect()))
+    assert sizes == [2] and len(got) == 3
+
+
+def test_categories_are_all_found_or_refused(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "c string")
+    assert categories_of(df, "c") == ["a", "b"]
+    with pytest.raises(ValueError):
+        categories_of(df, "c", most=1)
