@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -34,13 +36,20 @@ def forest_stages(features: Sequence[str], label: str, trees: int = 20, depth: i
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], label: str, **settings) -> PipelineModel:
-    """Random forest on scalar columns; only the columns it needs are read."""
-    return forest_stages(features, label, **settings).fit(train.select(*features, label))
+    """Random forest on scalar columns; only the columns it needs are read.
+
+    Rows with a missing feature are not learned from; the fitted model keeps them when it scores.
+    """
+    fitted = forest_stages(features, label, **settings).fit(train.select(*features, label))
+    fitted.stages[0].setHandleInvalid("keep")
+    return fitted
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Rows with a ``prediction``; the vector columns are dropped again."""
-    return model.transform(df).drop("probability", "rawPrediction", "features")
+    """Every row with a ``prediction``, null where a feature is null or NaN; the vector columns are dropped again."""
+    missing = [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in model.stages[0].getInputCols()]
+    scored = model.transform(df).drop("probability", "rawPrediction", "features")
+    return scored.withColumn("prediction", F.when(~reduce(or_, missing), F.col("prediction")))
 
 
 def accuracy(predictions: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
@@ -65,9 +74,10 @@ def confusion(predictions: DataFrame, label: str, prediction: str = "prediction"
 
 
 def evaluator_accuracy(predictions: DataFrame, label: str) -> float:
+    """The evaluator's accuracy; rows without a prediction count as wrong, as in :func:`accuracy`."""
     return MulticlassClassificationEvaluator(
         labelCol=label, predictionCol="prediction", metricName="accuracy"
-    ).evaluate(predictions)
+    ).evaluate(predictions.fillna(-1.0, ["prediction"]))
 
 
 def save_model(model: PipelineModel, path: str) -> None:

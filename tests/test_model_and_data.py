@@ -97,3 +97,14 @@ def test_scalars(spark, rows):
         df.select(scalars.day("d")).collect()
     with pytest.raises(ValueError):
         scalars.bucketise("x", [1], ["a"])
+
+
+def test_rows_with_a_missing_feature_are_kept_when_scoring(spark):
+    rows = [(i, float(i % 7) if i % 4 else None, float("nan") if i % 10 == 1 else 1.0, int(i % 7 > 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int")
+    model = ops.fit_forest(df, ["a", "b"], "y", trees=3, depth=3)
+    scored = ops.predict(model, df)
+    assert {r["id"] for r in scored.where("prediction is null").collect()} == {i for i, a, b, _ in rows if a is None or b != b}
+    measured = ops.accuracy(scored, "y").first()
+    assert measured["n_rows"] == 200 and abs(measured["accuracy"] - ops.evaluator_accuracy(scored, "y")) < 1e-12
+    assert classifier.score_scaled(model, df, ["a", "b"], times=3).count() == 600
