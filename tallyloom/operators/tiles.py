@@ -7,9 +7,11 @@ tile (or one Arrow batch of tiles) at a time.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -304,7 +306,8 @@ def matmul(a: TileMatrix, b: TileMatrix, fan_in: int = 32, small_limit: int = SM
     """``a @ b``.
 
     A right-hand side of at most ``small_limit`` values (known from its shape)
-    is sent to the executors and ``a`` stays where it is. Otherwise the tiles
+    is sent to the executors and ``a`` stays where it is; the result has the same
+    tiles either way. Otherwise the tiles
     meet in a join on the inner block; when there are fewer inner blocks than
     tasks, the larger side is spread over copies of the smaller one.
     """
@@ -354,45 +357,52 @@ def _matmul_small(a: TileMatrix, b: TileMatrix, fan_in: int) -> TileMatrix:
         r, c = t["bi"] * b.tile_rows, t["bj"] * b.tile_cols
         dense[r : r + t["n"], c : c + t["m"]] = np.asarray(t["data"]).reshape(t["n"], t["m"])
     shared = spark.sparkContext.broadcast(dense)
-    step, across = a.tile_cols, b.cols
+    step, across, width = a.tile_cols, b.cols, b.tile_cols
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = (
-                (bi, 0, bj, tile @ shared.value[bj * step : bj * step + tile.shape[1]]) for bi, bj, tile in _tile_rows(batch)
+                (bi, low // width, bj, tile @ shared.value[bj * step : bj * step + tile.shape[1], low : low + width])
+                for bi, bj, tile in _tile_rows(batch) for low in range(0, across, width)
             )
             for some in _packed(parts):
                 yield _piece_batch(("bi", "bj", "k"), some)
 
     products = a.tiles.mapInArrow(multiply, "bi bigint, bj bigint, k bigint, n int, m int, data array<double>")
-    return TileMatrix(_sum_products(products, a.col_blocks, fan_in), a.rows, across, a.tile_rows, across)
+    return TileMatrix(_sum_products(products, a.col_blocks, fan_in), a.rows, across, a.tile_rows, width)
 
 
 def gram(df: DataFrame, vector: str, cols: int) -> DataFrame:
     """``X.T @ X`` as ``i, j, v``, where X has the arrays of a column as its rows.
 
-    Every task adds its rows into one cols x cols square and sends that on; the
-    rows themselves are not shuffled.
+    The columns are cut into bands. For every pair of bands each task adds its
+    rows into one block of at most ``SMALL_MATRIX`` values and sends that on; the
+    rows themselves are not shuffled. Up to 2,048 columns are one band.
     """
-    if cols * cols > SMALL_MATRIX:
-        raise ValueError(f"{cols} columns: multiply tiles instead")
+    width = math.isqrt(SMALL_MATRIX)
+    bands = [(low, min(width, cols - low)) for low in range(0, cols, width)]
+    return reduce(DataFrame.unionByName, [_band_product(df, vector, a, b) for n, a in enumerate(bands) for b in bands[n:]])
+
+
+def _band_product(df: DataFrame, vector: str, a: tuple[int, int], b: tuple[int, int]) -> DataFrame:
+    """The cells of ``X.T @ X`` in the rows of band ``a`` and the columns of band ``b`` (first column, width), and their mirror."""
+    (top, high), (left, wide) = a, b
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        square = np.zeros((cols, cols))
+        block = np.zeros((high, wide))
         for batch in batches:
             rows = _column_arrays(batch.column(0))
             if rows:
-                x = np.concatenate(rows).astype(np.float64, copy=False).reshape(len(rows), cols)
-                square += x.T @ x
-        yield pa.RecordBatch.from_arrays([_list_column([square])], names=["data"])
-
-    squares = df.where(F.col(vector).isNotNull()).select(F.col(vector)).mapInArrow(partial, "data array<double>")
-    return (
-        squares.select(F.posexplode("data").alias("p", "v"))
-        .groupBy("p")
-        .agg(F.sum("v").alias("v"))
-        .select(F.floor(F.col("p") / cols).alias("i"), (F.col("p") % cols).cast("bigint").alias("j"), "v")
-    )
+                x = np.stack(rows).astype(np.float64, copy=False)
+                block += x[:, top : top + high].T @ x[:, left : left + wide]
+        yield pa.RecordBatch.from_arrays([_list_column([block])], names=["data"])
+
+    blocks = df.where(F.col(vector).isNotNull()).select(F.col(vector)).mapInArrow(partial, "data array<double>")
+    cells = blocks.select(F.posexplode("data").alias("p", "v")).groupBy("p").agg(F.sum("v").alias("v"))
+    placed = cells.select((F.floor(F.col("p") / wide) + top).alias("i"), (F.col("p") % wide + left).cast("bigint").alias("j"), "v")
+    if a == b:
+        return placed
+    return placed.unionByName(placed.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
 
 
 # --- reducing, iterating, reusing -------------------------------------------

@@ -98,6 +98,9 @@ def matrix_stats(spark: SparkSession, sf: str) -> DataFrame:
     return stats.select(F.round("total", 6).alias("total"), F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
+ITERATIONS = 6
+
+
 def _iterate_sql(rounds: int) -> str:
     parts = [f"WITH c AS ({_CELLS})", f"x0 AS MATERIALIZED (SELECT i, j, v / (SELECT count(*) FROM embeddings) AS v FROM ({_GRAM}))"]
     for k in range(rounds):
@@ -105,9 +108,9 @@ def _iterate_sql(rounds: int) -> str:
     return ",\n".join(parts) + f"\nSELECT i, j, round(v, 9) AS v FROM x{rounds}"
 
 
-@query(_iterate_sql(3))
+@query(_iterate_sql(ITERATIONS))
 def matrix_iterate(spark: SparkSession, sf: str) -> DataFrame:
-    return _cells(tiles.tanh_gram_rounds(_scaled_gram(spark, sf), 3, small_limit=0), 9)
+    return _cells(tiles.tanh_gram_rounds(_scaled_gram(spark, sf), ITERATIONS, small_limit=0), 9)
 
 
 @query(f"SELECT round(sum(v + 1), 5) AS total, round(sum((v + 1) * (v + 1)), 5) AS squares FROM ({_CELLS})")

@@ -79,8 +79,24 @@ def test_rows_gram_and_stats(spark):
     assert np.allclose(g, v.astype(float).T @ v.astype(float))
     s = tiles.matrix_stats(x).first()
     assert np.allclose([s["total"], s["mean"], s["std"]], [v.sum(dtype=float), v.mean(dtype=float), v.std(dtype=float)])
-    with pytest.raises(ValueError):
-        tiles.gram(df, "e", 4096)
+
+
+def test_gram_of_many_columns(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "SMALL_MATRIX", 16)  # bands of four columns
+    v = rng.random((30, 11))
+    df = spark.createDataFrame([(r.tolist(),) for r in v] + [(None,)], "e array<double>").repartition(3)
+    cells = tiles.gram(df, "e", 11).collect()
+    g = np.full((11, 11), np.nan)
+    for r in cells:
+        g[r["i"], r["j"]] = r["v"]
+    assert len(cells) == 121 and np.allclose(g, v.T @ v)
+
+
+def test_both_multiply_forms_give_the_same_tiles(spark):
+    a, b = rng.random((5, 7)), rng.random((7, 6))
+    forms = [tiles.matmul(matrix(spark, a, 2, 3), matrix(spark, b, 3, 4), small_limit=n) for n in (0, 1 << 22)]
+    shapes = [sorted((r["bi"], r["bj"], r["n"], r["m"]) for r in f.tiles.collect()) for f in forms]
+    assert shapes[0] == shapes[1] and len(shapes[0]) == 6 and forms[0].tile_cols == forms[1].tile_cols
 
 
 def test_iterated_map(spark):
