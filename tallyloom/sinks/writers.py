@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -32,12 +32,10 @@ def stored_rank(table: DataFrame, name: str = "stored_rank") -> DataFrame:
     position in the file.
     """
     rows = table.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
-    # One row per part file, so this list is as long as the listing of the folder.
-    start, starts = 0, []
-    for file, n in sorted(tuple(r) for r in rows.groupBy("_file").count().collect()):
-        starts.append((file, start))
-        start += n
-    offsets = table.sparkSession.createDataFrame(starts, "_file string, _start bigint")
+    # One row per part file; the number in its name, not the name as text, gives the order.
+    number = F.regexp_extract("_file", r"^part-(\d+)", 1).try_cast("bigint")
+    before = Window.orderBy(number, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_file").count().select("_file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     return rows.join(offsets, "_file").withColumn(name, F.col("_start") + F.col("_pos") + 1).drop("_file", "_pos", "_start")
 
 

@@ -45,10 +45,10 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return readers.load(spark, "csv", path, customer.schema)
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS _c0, c_name AS _c1, CAST(c_nationkey AS VARCHAR) AS _c2, c_mktsegment AS _c3 FROM customer")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS _c0, c_name AS _c1, CAST(c_nationkey AS VARCHAR) AS _c2, c_mktsegment AS _c3, CAST(c_acctbal AS VARCHAR) AS _c4 FROM customer")
 def csv_untyped(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "csv")
-    table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").write.csv(path)
+    table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal").write.csv(path)
     return readers.read_csv_untyped(spark, path)
 
 
