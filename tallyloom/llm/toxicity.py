@@ -86,7 +86,7 @@ def remainder(doc_id: Column, folds: int) -> Column:
 
 def train(
     docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = 16_000, log2: int = PLACES_LOG2, epochs: int = 5,
-    alpha: float = 1.5, beta: float = 1.0, l1: float = 10.0, l2: float = 0.0, min_rows: int = 6, max_share: float = 0.1,
+    alpha: float = 1.5, beta: float = 1.0, l1: float = 10.0, l2: float = 0.0, min_rows: int = 6, max_share: float = 1.0,
 ) -> dict[str, np.ndarray]:
     """``place`` and ``weight`` arrays, at most 2 ** log2 of each; rows of the first fold are not learned from."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
