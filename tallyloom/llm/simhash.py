@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
@@ -56,16 +56,18 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(ones * 2 > last, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", keys: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long), and ``keys``, further columns of longs."""
+    keys = keys or {}
+    names = tuple(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(t, shingle) for (t,) in rows([batch], ("text",))]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(np.array(prints, np.uint64).view(np.int64))})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), **{k: batch.column(k) for k in names}})
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id bigint, fp bigint")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(k) for k, c in keys.items()])
+    return picked.mapInArrow(run, "doc_id bigint, fp bigint" + "".join(f", {k} bigint" for k in names))
 
 
 def _masks(max_bits: int) -> list[tuple[int, int]]:
@@ -117,9 +119,49 @@ def near_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links, itself included)."""
     prints = materialise(fingerprints(docs, shingle, id_col, text_col), "simhash-prints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    of_print = materialise(_named(distinct, max_bits).withColumnRenamed("first", "component_id"), "simhash-named")
+    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """``fp`` and the smallest ``first`` of its component; ``distinct`` (stored) has one row per fingerprint."""
     linked = materialise(near_components(distinct.select("fp"), max_bits), "simhash-linked")
     rooted = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = materialise(rooted.join(named, "root").select("fp", "component_id"), "simhash-named")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return rooted.select("fp", "root").join(named, "root").select("fp", "first")
+
+
+SUSPECT_LOG2 = 26
+
+
+def representatives(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One whole row of ``docs`` per component: the smallest doc_id (null ids last), then an arbitrary but fixed one.
+
+    Rows are told apart by 128 bits of a hash of all their columns, so null and
+    repeated ids lose nothing, and of rows that are equal throughout one stays.
+    Texts do not move: a bit table of bounded size (2 ** 20 words, so small
+    enough for every task) marks the rows that may have to go, and only these
+    are shuffled to meet the exact list. Whatever the table marks by mistake
+    stays. Columns of map type cannot be hashed and raise.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keys = {"k1": F.xxhash64(*columns), "k2": F.xxhash64(F.lit(1), *columns)}
+    prints = fingerprints(docs, shingle, id_col, text_col, keys)
+    rows_ = materialise(prints.groupBy("k1", "k2").agg(F.first("fp").alias("fp"), F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")
+    distinct = materialise(rows_.groupBy("fp").agg(F.min(order).alias("first")), "simhash-distinct")
+    of_print = materialise(_named(distinct, max_bits).select("fp", F.col("first.k1").alias("w1"), F.col("first.k2").alias("w2")), "simhash-named")
+    goes = (F.col("k1") != F.col("w1")) | (F.col("k2") != F.col("w2"))
+    listed = materialise(rows_.join(of_print, "fp").select("k1", "k2", goes.alias("goes"), "n").filter("goes or n > 1"), "simhash-listed")
+
+    place = F.col("k1").bitwiseAND((1 << SUSPECT_LOG2) - 1)
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    marks = materialise(listed.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")), "simhash-marks")
+    keyed = docs.select(F.struct(*columns).alias("row"), *[c.alias(k) for k, c in keys.items()])
+    looked = keyed.withColumn("word", word).join(F.broadcast(marks), "word", "left")
+    suspect = F.coalesce(F.col("bits"), F.lit(0)).bitwiseAND(bit) != 0
+    clear = looked.filter(~suspect).select("row.*")
+    checked = looked.filter(suspect).select("row", "k1", "k2").join(listed.select("k1", "k2", "goes"), ["k1", "k2"], "left")
+    staying = checked.filter("goes is null or not goes").dropDuplicates(["k1", "k2"]).select("row.*")
+    return clear.union(staying)
