@@ -3,6 +3,12 @@
 ``run`` applies the stages to ``documents``; each one's result is written as
 parquet to the shared folder and read again, so a later stage never recomputes
 an earlier one.
+
+Defined results: null and empty texts are not toxic, are near-duplicates of each
+other, hold no secret and are never taken into the mix; rows with a null id stay
+rows of their own; of equal rows one stays before mixing; rows with one id but
+different texts are separate documents; very long texts are processed whole; an
+empty table gives no rows; columns beside those of ``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -26,11 +32,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate component."""
-    kept = materialise(
-        simhash.near_duplicates(docs, SHINGLE, MAX_BITS).filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct(), "kept-ids"
-    )
-    return docs.join(kept, docs["doc_id"] == kept["kept"], "left_semi").select(*COLUMNS)
+    """One document of every near-duplicate component: the smallest id (null ids last), and one of equal rows."""
+    return simhash.representatives(docs.select(*COLUMNS), SHINGLE, MAX_BITS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
