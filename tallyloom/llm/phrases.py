@@ -40,7 +40,7 @@ from tallyloom.llm.text import rows
 from tallyloom.scratch import materialise
 
 LONGEST = 3
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PROBES = 3
 LEAST_BITS, MOST_BITS = 16, 28  # logarithms: the filter has 8 KiB to 32 MiB
 
