@@ -2,8 +2,12 @@
 
 A window over raw rows puts a whole partition key into one task. The running
 average depends on a row only through its key and its order value, so the rows
-are first summed per (key, order value) and the window runs over those sums.
-Row-level results come from joining the small result back.
+are first summed per (key, order value). Prefix sums over those sums run in two
+levels: a range partitioning by (keys, order) cuts them at quantiles that Spark
+samples, windows run inside the blocks, and one offset per key and block is
+carried on from the blocks before. A key with very many order values is spread
+over its blocks; no argument is needed for it. Row-level results come from
+joining the small result back.
 """
 
 from __future__ import annotations
@@ -12,13 +16,15 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_FIRST, _LAST = "_first", "_last"
+from tallyloom.scratch import materialise
+
+_FIRST, _LAST, _BLANK, _BLOCK = "_first", "_last", "_blank", "_block"
 
 
 def _per_order_value(
     df: DataFrame, keys: Sequence[str], order: str, value: str, tie: Column | None = None, sums: Mapping[str, Column] | None = None
 ) -> DataFrame:
-    ends = [] if tie is None else [F.min(tie).alias(_FIRST), F.max(tie).alias(_LAST)]
+    ends = [] if tie is None else [F.min(tie).alias(_FIRST), F.max(tie).alias(_LAST), F.max(tie.isNull()).alias(_BLANK)]
     ends += [F.sum(c).alias(name) for name, c in (sums or {}).items()]
     return df.groupBy(*keys, order).agg(
         F.coalesce(F.sum(value), F.lit(0)).alias("_s"),
@@ -28,18 +34,21 @@ def _per_order_value(
     )
 
 
-def _running(sums: DataFrame, keys: Sequence[str], order: str, block: Column | None) -> DataFrame:
-    """Add ``running``, ``before`` and ``after``: the running average at, before and after an order value.
+def in_blocks(sums: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """``sums`` stored with ``_block``, which never decreases with the order value of a key.
 
-    With ``block`` (a column that never decreases with ``order``) the sums are
-    accumulated inside blocks and across block totals, so a key with very many
-    order values is spread over its blocks.
+    Block limits are the limits of a range partitioning, so blocks are about
+    equal whatever the keys; adaptive execution merges those of a small table.
     """
-    if block is None:
-        local_keys = list(keys)
-    else:
-        sums = sums.withColumn("_block", block)
-        local_keys = [*keys, "_block"]
+    placed = sums.repartitionByRange(*keys, order).withColumn(_BLOCK, F.spark_partition_id())
+    return materialise(placed, "running-sums")
+
+
+def _running(sums: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Add ``running``, ``before`` and ``after``: the running average at, before and after an order value."""
+    columns = sums.columns
+    sums = in_blocks(sums, keys, order)
+    local_keys = [*keys, _BLOCK]
     w = Window.partitionBy(*local_keys).orderBy(order)
     upto, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     local = sums.select(
@@ -50,32 +59,37 @@ def _running(sums: DataFrame, keys: Sequence[str], order: str, block: Column | N
         F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_ca"),
         F.lead(F.struct("_s", "_c")).over(w).alias("_next"),
     )
-    if block is not None:
-        totals = sums.groupBy(*local_keys).agg(
-            F.sum("_s").alias("_bs"),
-            F.sum("_c").alias("_bc"),
-            F.min(F.struct(order, "_s", "_c")).alias("_head"),
-        )
-        wb = Window.partitionBy(*keys).orderBy("_block")
-        behind = wb.rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(local_keys)],
-            F.coalesce(F.sum("_bs").over(behind), F.lit(0)).alias("_os"),
-            F.coalesce(F.sum("_bc").over(behind), F.lit(0)).alias("_oc"),
-            F.lead("_head").over(wb).alias("_nexthead"),
-        )
-        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(local_keys)]
-        local = local.join(offsets, same, "inner").withColumns(
-            {
-                "_su": F.col("_su") + F.col("_os"),
-                "_cu": F.col("_cu") + F.col("_oc"),
-                "_sa": F.col("_sa") + F.col("_os"),
-                "_ca": F.col("_ca") + F.col("_oc"),
-                "_next": F.coalesce("_next", F.struct(F.col("_nexthead._s").alias("_s"), F.col("_nexthead._c").alias("_c"))),
-            }
-        )
+    # A block border cuts one key, so at most two rows per block belong to a key that needs an offset.
+    limits = sums.groupBy(*local_keys).agg(F.sum("_s").alias("_bs"), F.sum("_c").alias("_bc"), F.min(order).alias("_low"), F.max(F.col(order).isNull()).alias("_null"))
+    limits = limits.withColumn("_blocks", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_blocks > 1")
+    # The first order value of a block: a null one comes before all others.
+    low = F.when(F.col("_null"), F.lit(None)).otherwise(F.col("_low"))
+    heads = limits.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(local_keys)], low.alias("_hl"))
+    at_head = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(local_keys)] + [F.col(order).eqNullSafe(F.col("_hl"))]
+    headed = sums.join(heads, at_head).select(*local_keys, F.struct("_s", "_c").alias("_head"))
+    renamed = headed.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(local_keys)], "_head")
+    limits = limits.join(renamed, [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(local_keys)])
+    wb = Window.partitionBy(*keys).orderBy(_BLOCK)
+    behind = wb.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = limits.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(local_keys)],
+        F.sum("_bs").over(behind).alias("_os"),
+        F.sum("_bc").over(behind).alias("_oc"),
+        F.lead("_head").over(wb).alias("_nexthead"),
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(local_keys)]
+    carried, passed = F.coalesce("_os", F.lit(0)), F.coalesce("_oc", F.lit(0))
+    local = local.join(offsets, same, "left").withColumns(
+        {
+            "_su": F.col("_su") + carried,
+            "_cu": F.col("_cu") + passed,
+            "_sa": F.col("_sa") + carried,
+            "_ca": F.col("_ca") + passed,
+            "_next": F.coalesce("_next", "_nexthead"),
+        }
+    )
     return local.select(
-        *sums.columns,
+        *columns,
         F.try_divide("_su", "_cu").alias("running"),
         F.try_divide("_sa", "_ca").alias("before"),
         F.try_divide(F.col("_su") + F.col("_next._s"), F.col("_cu") + F.col("_next._c")).alias("after"),
@@ -91,11 +105,9 @@ def _join_back(df: DataFrame, right: DataFrame, keys: Sequence[str], *results: C
     return df.join(renamed, same, "inner").select(*[F.col(c) for c in df.columns], *results)
 
 
-def running_average(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, name: str = "running_avg", block: Column | None = None
-) -> DataFrame:
+def running_average(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str = "running_avg") -> DataFrame:
     """Average of all rows of the key up to the row's order value, rows with the same value included."""
-    run = _running(_per_order_value(df, keys, order, value), keys, order, block)
+    run = _running(_per_order_value(df, keys, order, value), keys, order)
     slim = run.select(*keys, order, "running")
     return _join_back(df, slim, [*keys, order], F.col("running").alias(name))
 
@@ -109,25 +121,56 @@ def running_neighbours(
     name: str = "running_avg",
     previous: str = "prev_avg",
     following: str = "next_avg",
-    block: Column | None = None,
+    unique_tie: bool = False,
 ) -> DataFrame:
     """Running average with its lag and lead over the rows ordered by (order, tie).
 
-    ``tie`` must identify a row among those with the same key and order value.
     Rows sharing an order value share their running average, so only the first
-    of them looks back to the value before, and only the last one ahead.
+    of them looks back to the value before, and only the last one ahead. First
+    and last are found by the first column of ``tie``; where several rows share
+    it, the other columns decide, and of rows that repeat the whole ``tie`` one
+    is taken, as a window would. For that the rows are stored once and numbered.
+    ``unique_tie`` promises that the first column of ``tie`` is enough, and
+    spares the storing.
     """
-    mark = F.struct(*tie)
-    run = _running(_per_order_value(df, keys, order, value, mark), keys, order, block)
-    slim = run.select(*keys, order, "running", "before", "after", _FIRST, _LAST)
-    return _join_back(
-        df,
-        slim,
-        [*keys, order],
+    mark = F.col(tie[0])
+    run = _running(_per_order_value(df, keys, order, value, mark), keys, order)
+    slim = run.select(*keys, order, "running", "before", "after", _FIRST, _LAST, _BLANK)
+    # A null tie comes before all others.
+    first = F.when(F.col(_BLANK), mark.isNull()).otherwise(mark == F.col(_FIRST)).alias(_FIRST)
+    last = mark.eqNullSafe(F.col(_LAST)).alias(_LAST)
+    found = _join_back(df, slim, [*keys, order], F.col("running"), F.col("before"), F.col("after"), first, last)
+    if not unique_tie:
+        found = _one_each(found, [*keys, order], tie)
+    return found.select(
+        *[F.col(c) for c in df.columns],
         F.col("running").alias(name),
-        F.when(mark == F.col(_FIRST), F.col("before")).otherwise(F.col("running")).alias(previous),
-        F.when(mark == F.col(_LAST), F.col("after")).otherwise(F.col("running")).alias(following),
+        F.when(F.col(_FIRST), F.col("before")).otherwise(F.col("running")).alias(previous),
+        F.when(F.col(_LAST), F.col("after")).otherwise(F.col("running")).alias(following),
+    )
+
+
+def _one_each(found: DataFrame, group: Sequence[str], tie: Sequence[str]) -> DataFrame:
+    """``found`` with one first and one last row per group, decided by the whole ``tie`` and then by the number of the stored row.
+
+    Only groups with several candidates are looked at again; everything is
+    grouped with partial results, so a tie that very many rows share is no hot task.
+    """
+    stored = materialise(found.withColumn("_row", F.monotonically_increasing_id()), "running-rows")
+    edges = stored.filter(F.col(_FIRST) | F.col(_LAST))
+    firsts, lasts = (F.sum(F.col(c).cast("int")) for c in (_FIRST, _LAST))
+    crowded = edges.groupBy(*group).agg(firsts.alias("_firsts"), lasts.alias("_lasts")).filter("_firsts > 1 or _lasts > 1")
+    crowded = crowded.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(group)])
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(group)]
+    place = F.struct(*tie, "_row")
+    picked = edges.join(crowded, same, "left_semi").groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(group)]).agg(
+        F.min(F.when(F.col(_FIRST), place)).alias("_low"), F.max(F.when(F.col(_LAST), place)).alias("_high")
     )
+    picked = materialise(picked.select("*", F.col("_low._row").alias("_at_first"), F.col("_high._row").alias("_at_last")).drop("_low", "_high"), "running-picked")
+    return stored.join(picked, same, "left").withColumns({
+        _FIRST: F.when(F.col("_at_first").isNull(), F.col(_FIRST)).otherwise(F.col("_row") == F.col("_at_first")),
+        _LAST: F.when(F.col("_at_last").isNull(), F.col(_LAST)).otherwise(F.col("_row") == F.col("_at_last")),
+    })
 
 
 def neighbour_totals(
@@ -137,7 +180,6 @@ def neighbour_totals(
     value: str,
     previous: str = "total_prev",
     following: str = "total_next",
-    block: Column | None = None,
     sums: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Per key, the sums of the lag and of the lead of the running average.
@@ -146,7 +188,7 @@ def neighbour_totals(
     one sees the neighbour's, so the row-level window is not needed. ``sums``
     names further columns to add up on the way, in the same pass over the rows.
     """
-    run = _running(_per_order_value(df, keys, order, value, sums=sums), keys, order, block)
+    run = _running(_per_order_value(df, keys, order, value, sums=sums), keys, order)
 
     def summed(neighbour: str) -> Column:
         inner = F.when(F.col("_rows") > 1, (F.col("_rows") - 1) * F.col("running"))

@@ -195,13 +195,11 @@ def running_avg(spark: SparkSession, sf: str) -> DataFrame:
        FROM lineitem"""
 )
 def running_avg_few_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Three keys hold all rows; the sums of a key are accumulated month by month."""
+    """Three keys hold all rows; their sums are accumulated in blocks."""
     sales = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", "l_partkey", "l_shipdate", "l_quantity"
     )
-    return running_average(
-        sales, ["l_returnflag"], "l_shipdate", "l_quantity", block=F.trunc("l_shipdate", "month")
-    ).withColumn("running_avg", F.round("running_avg", 6)).drop("l_quantity")
+    return running_average(sales, ["l_returnflag"], "l_shipdate", "l_quantity").withColumn("running_avg", F.round("running_avg", 6)).drop("l_quantity")
 
 
 _TIE = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_quantity"]
@@ -229,9 +227,7 @@ def prev_next_few_keys(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select(
         "o_orderkey", "o_orderpriority", "o_orderdate", F.floor("o_totalprice").alias("o_totalprice")
     )
-    found = running_neighbours(
-        orders, ["o_orderpriority"], "o_orderdate", "o_totalprice", ["o_orderkey"], block=F.trunc("o_orderdate", "month")
-    )
+    found = running_neighbours(orders, ["o_orderpriority"], "o_orderdate", "o_totalprice", ["o_orderkey"], unique_tie=True)
     return found.select("o_orderkey", "o_orderpriority", *[F.round(c, 4).alias(c) for c in ("running_avg", "prev_avg", "next_avg")])
 
 

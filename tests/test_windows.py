@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from tallyloom.operators.windows import neighbour_totals, running_average, running_neighbours
+from tallyloom.operators.windows import _per_order_value, in_blocks, neighbour_totals, running_average, running_neighbours
 
 SCHEMA = "id bigint, k string, d int, v double"
 
@@ -30,32 +30,39 @@ def by_id(df, *columns):
     return {r["id"]: tuple(r[c] for c in columns) for r in df.collect()}
 
 
-BLOCKS = {"whole": lambda: None, "blocks": lambda: F.floor(F.col("d") / 6)}
+@pytest.fixture(params=[1, 23], ids=["one block", "blocks"])
+def blocks(spark, request):
+    """As many blocks as a range partitioning makes, not merged again."""
+    settings = {"spark.sql.shuffle.partitions": str(request.param), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("block", BLOCKS)
-def test_running_average(data, block):
+def test_running_average(data, blocks):
     w = Window.partitionBy("k").orderBy("d")
     want = by_id(data.withColumn("x", F.avg("v").over(w)), "x")
-    got = by_id(running_average(data, ["k"], "d", "v", "x", BLOCKS[block]()), "x")
+    got = by_id(running_average(data, ["k"], "d", "v", "x"), "x")
     assert got.keys() == want.keys()
     assert all(same(got[i][0], want[i][0]) for i in want)
 
 
-@pytest.mark.parametrize("block", BLOCKS)
-def test_neighbours(data, block):
+def test_neighbours(data, blocks):
     w, total = Window.partitionBy("k").orderBy("d"), Window.partitionBy("k").orderBy("d", "id")
     ra = data.withColumn("running_avg", F.avg("v").over(w))
     ra = ra.withColumns({"prev_avg": F.lag("running_avg").over(total), "next_avg": F.lead("running_avg").over(total)})
     names = ["running_avg", "prev_avg", "next_avg"]
-    want, got = by_id(ra, *names), by_id(running_neighbours(data, ["k"], "d", "v", ["id"], block=BLOCKS[block]()), *names)
+    want, got = by_id(ra, *names), by_id(running_neighbours(data, ["k"], "d", "v", ["id"]), *names)
     assert got.keys() == want.keys()
     for i in want:
         assert all(same(a, b) for a, b in zip(got[i], want[i])), i
 
     sums = ra.groupBy("k").agg(F.sum("prev_avg").alias("p"), F.sum("next_avg").alias("n"))
     want = {r["k"]: (r["p"], r["n"]) for r in sums.collect()}
-    got = {r["k"]: (r["p"], r["n"]) for r in neighbour_totals(data, ["k"], "d", "v", "p", "n", BLOCKS[block]()).collect()}
+    got = {r["k"]: (r["p"], r["n"]) for r in neighbour_totals(data, ["k"], "d", "v", "p", "n").collect()}
     assert got.keys() == want.keys()
     assert all(same(a, b) for k in want for a, b in zip(got[k], want[k]))
 
@@ -64,3 +71,44 @@ def test_input_columns_and_row_count_are_kept(data):
     out = running_average(data, ["k"], "d", "v")
     assert out.columns == [*data.columns, "running_avg"]
     assert out.count() == data.count()
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_repeated_ties_equal_a_window(spark, blocks, unique):
+    """Rows that share the first column of the tie, all of it, or everything; nulls among them."""
+    rng = random.Random(9)
+    if unique:
+        made = [(i, "ab"[i % 2], i % 9, float(rng.randrange(50)), i, 0) for i in range(200)]
+    else:
+        made = [(0, "ab"[i % 2], None if i % 23 == 0 else i % 5, float(rng.randrange(50)), None if i % 7 == 0 else rng.randrange(4), rng.choice([None, 1, 2])) for i in range(300)]
+        made += [(0, "c", 1, 4.0, 1, 1)] * 40 + [(0, "c", 2, 6.0, None, None)] * 3 + [(0, "d", 1, None, 1, 1)] * 2
+    frame = spark.createDataFrame(made, SCHEMA + ", t bigint, u bigint").repartition(3).persist()
+    total = Window.partitionBy("k").orderBy("d", "t", "u")
+    want = frame.withColumn("running_avg", F.avg("v").over(Window.partitionBy("k").orderBy("d")))
+    want = want.withColumns({"prev_avg": F.lag("running_avg").over(total), "next_avg": F.lead("running_avg").over(total)})
+    got = running_neighbours(frame, ["k"], "d", "v", ["t", "u"], unique_tie=unique)
+    assert got.columns == want.columns
+
+    def counted(df):
+        # Which of the rows with one tie is the first is open, and with it the value that goes along.
+        found = {}
+        for r in df.collect():
+            key = (r["k"], r["d"], r["t"], r["u"], *(None if r[c] is None else round(r[c], 9) for c in ("running_avg", "prev_avg", "next_avg")))
+            found[key] = found.get(key, 0) + 1
+        return found
+
+    assert counted(got) == counted(want)
+
+
+def test_one_hot_key_is_spread_over_blocks(spark, blocks):
+    """A key with all rows: no block holds much more than its share of the order values."""
+    frame = spark.range(5000).select(F.lit("hot").alias("k"), (F.col("id") % 2300).alias("d"), F.lit(1.0).alias("v"))
+    sizes = [r["count"] for r in in_blocks(_per_order_value(frame, ["k"], "d", "v"), ["k"], "d").groupBy("_block").count().collect()]
+    assert sum(sizes) == 2300 and len(sizes) >= 0.8 * blocks and max(sizes) <= 2.5 * 2300 / blocks
+    last = running_average(frame, ["k"], "d", "d", "x").agg(F.max("x")).first()[0]
+    assert math.isclose(last, frame.agg(F.avg("d")).first()[0])
+
+
+def test_no_sort_aggregate(spark, data):
+    plan = running_neighbours(data, ["k"], "d", "v", ["id"], unique_tie=True)._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in _per_order_value(data, ["k"], "d", "v", F.col("id"))._jdf.queryExecution().toString()
