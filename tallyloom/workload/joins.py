@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.operators.aggregates import categories_of, column_stats, group_mean, group_stats, pivot_mean, sum_of_product
 from tallyloom.operators.partitions import map_part_rows, part_counts, part_head, part_means, replicate_rows, total_rows, union_parts
-from tallyloom.plans import join_average, wide_pivot
+from tallyloom.plans import join_average, part_stats, wide_pivot
 from tallyloom.sources.datagen import category_dimension
 from tallyloom.workload.registry import query, table
 
@@ -113,6 +113,26 @@ def part_map(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH o AS (SELECT event_id % 4 AS part_id, event_id, value, lag(value) OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS before FROM events),
+       g AS (SELECT part_id, value, sum(CASE WHEN value > before THEN 0 ELSE 1 END) OVER (PARTITION BY part_id ORDER BY event_id) AS rise FROM o)
+       SELECT part_id, max(n) AS longest FROM (SELECT part_id, rise, count(value) AS n FROM g GROUP BY ALL) GROUP BY part_id"""
+)
+def part_longest_rise(spark: SparkSession, sf: str) -> DataFrame:
+    """A function of the rows of a whole part in their order."""
+    return part_stats.longest_rise(_parts(spark, sf), "part_id", ["event_id"], "value")
+
+
+@query(
+    """SELECT event_id % 4 AS part_id, count(*) AS n_rows, count(value) AS n_values, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std,
+              min(value) AS low, max(value) AS high FROM events GROUP BY 1"""
+)
+def part_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """A function of a whole part that is folded in pieces."""
+    found = part_stats.spread_of_parts(_parts(spark, sf), "part_id", "value")
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
 @query("SELECT event_type, count(*) AS n_rows, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def union_of_parts(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select("event_type", "value")
