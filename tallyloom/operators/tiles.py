@@ -302,51 +302,83 @@ def _sum_products(products: DataFrame, blocks: int, fan_in: int) -> DataFrame:
     return products.select("bi", "bj", "n", "m", "data")
 
 
-def matmul(a: TileMatrix, b: TileMatrix, fan_in: int = 32, small_limit: int = SMALL_MATRIX) -> TileMatrix:
-    """``a @ b``.
+# A spread may copy the smaller side until the copies hold so many times the values of the larger side.
+COPY_FACTOR = 4
+PRODUCT = "bi bigint, bj bigint, k bigint, n int, m int, data array<double>"
 
-    A right-hand side of at most ``small_limit`` values (known from its shape)
-    is sent to the executors and ``a`` stays where it is; the result has the same
-    tiles either way. Otherwise the tiles
-    meet in a join on the inner block; when there are fewer inner blocks than
-    tasks, the larger side is spread over copies of the smaller one.
-    """
-    if a.cols != b.rows:
-        raise ValueError(f"shapes do not match: {a.rows}x{a.cols} @ {b.rows}x{b.cols}")
-    if b.rows * b.cols <= small_limit:
-        return _matmul_small(a, b, fan_in)
-    if a.tile_cols != b.tile_rows:
-        b = rechunk(b, a.tile_cols, b.tile_cols)
 
-    spark = a.tiles.sparkSession
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _accumulated(dots: Iterable[tuple], values: int = SMALL_MATRIX) -> Iterator[tuple]:
+    """Products (bi, bj, k, tile) added up by place, as long as the sums hold at most ``values`` values.
+
+    A sum bears the inner block of its first product, so the sums of one place
+    differ in it. Where the places of a task fit the bound, one tile per place
+    leaves the task, however many inner blocks it has seen.
+    """
+    held: dict[tuple[int, int], list] = {}
+    size = 0
+    for bi, bj, k, tile in dots:
+        found = held.get((bi, bj))
+        if found:
+            found[1] += tile
+            continue
+        if held and size + tile.size > values:
+            yield from ((*place, first, whole) for place, (first, whole) in held.items())
+            held, size = {}, 0
+        held[bi, bj] = [k, tile]
+        size += tile.size
+    yield from ((*place, first, whole) for place, (first, whole) in held.items())
+
+
+def _copies(a: TileMatrix, b: TileMatrix, wanted: int) -> int:
+    """Over how many copies of the smaller side the larger one is spread: enough for ``wanted`` tasks, bounded by what is copied."""
+    left, right = a.rows * a.cols, b.rows * b.cols
+    spare = a.row_blocks if left >= right else b.col_blocks
+    affordable = COPY_FACTOR * max(left, right) // max(1, min(left, right))
+    return max(1, min(spare, affordable, -(-wanted // a.col_blocks)))
+
+
+def partial_products(a: TileMatrix, b: TileMatrix) -> DataFrame:
+    """bi, bj, k, n, m, data: tiles that add up to those of ``a @ b``; at most one per task and place unless a task's sums outgrow their bound."""
+    wanted = int(a.tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = a.tiles.select("bi", F.col("bj").alias("k"), "n", F.col("m").alias("inner"), F.col("data").alias("left"))
     right = b.tiles.select(F.col("bi").alias("k"), "bj", "m", F.col("data").alias("right"))
-    spread_left = a.rows * a.cols >= b.rows * b.cols
-    spare = a.row_blocks if spread_left else b.col_blocks
-    copies = max(1, min(spare, -(-wanted // a.col_blocks)))
+    spread_left, copies = a.rows * a.cols >= b.rows * b.cols, _copies(a, b, wanted)
     every = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
     left = left.withColumn("salt", F.col("bi") % copies if spread_left else every)
     right = right.withColumn("salt", every if spread_left else F.col("bj") % copies)
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             place = zip(*[batch.column(c).to_pylist() for c in ("bi", "bj", "k", "n", "inner", "m")])
             pairs = zip(_column_arrays(batch.column("left")), _column_arrays(batch.column("right")))
-            dots = (
-                (bi, bj, k, x.reshape(n, inner) @ y.reshape(inner, m))
-                for (bi, bj, k, n, inner, m), (x, y) in zip(place, pairs)
-            )
-            for some in _packed(dots):
-                yield _piece_batch(("bi", "bj", "k"), some)
+            for (bi, bj, k, n, inner, m), (x, y) in zip(place, pairs):
+                yield bi, bj, k, x.reshape(n, inner) @ y.reshape(inner, m)
 
-    products = (
-        left.join(right, ["k", "salt"])
-        .select("bi", "bj", "k", "n", "inner", "m", "left", "right")
-        .mapInArrow(multiply, "bi bigint, bj bigint, k bigint, n int, m int, data array<double>")
-    )
-    tiles = _sum_products(products, a.col_blocks, fan_in)
-    return TileMatrix(tiles, a.rows, b.cols, a.tile_rows, b.tile_cols)
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _packed(_accumulated(dots(batches))):
+            yield _piece_batch(("bi", "bj", "k"), some)
+
+    met = left.join(right, ["k", "salt"]).select("bi", "bj", "k", "n", "inner", "m", "left", "right")
+    return met.mapInArrow(multiply, PRODUCT)
+
+
+def matmul(a: TileMatrix, b: TileMatrix, fan_in: int = 32, small_limit: int = SMALL_MATRIX) -> TileMatrix:
+    """``a @ b``.
+
+    A right-hand side of at most ``small_limit`` values (known from its shape)
+    is sent to the executors and ``a`` stays where it is; the result has the same
+    tiles either way. Otherwise the tiles meet in a join on the inner block; when
+    there are fewer inner blocks than tasks, the larger side is spread over copies
+    of the smaller one. Tasks add up what belongs to one place before anything is
+    shuffled, and the sums of the tasks are added in a tree.
+    """
+    if a.cols != b.rows:
+        raise ValueError(f"shapes do not match: {a.rows}x{a.cols} @ {b.rows}x{b.cols}")
+    if b.rows * b.cols <= small_limit:
+        return _matmul_small(a, b, fan_in)
+    if a.tile_cols != b.tile_rows:
+        b = rechunk(b, a.tile_cols, b.tile_cols)
+    return TileMatrix(_sum_products(partial_products(a, b), a.col_blocks, fan_in), a.rows, b.cols, a.tile_rows, b.tile_cols)
 
 
 def _matmul_small(a: TileMatrix, b: TileMatrix, fan_in: int) -> TileMatrix:
@@ -359,16 +391,17 @@ def _matmul_small(a: TileMatrix, b: TileMatrix, fan_in: int) -> TileMatrix:
     shared = spark.sparkContext.broadcast(dense)
     step, across, width = a.tile_cols, b.cols, b.tile_cols
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            parts = (
-                (bi, low // width, bj, tile @ shared.value[bj * step : bj * step + tile.shape[1], low : low + width])
-                for bi, bj, tile in _tile_rows(batch) for low in range(0, across, width)
-            )
-            for some in _packed(parts):
-                yield _piece_batch(("bi", "bj", "k"), some)
+            for bi, bj, tile in _tile_rows(batch):
+                for low in range(0, across, width):
+                    yield bi, low // width, bj, tile @ shared.value[bj * step : bj * step + tile.shape[1], low : low + width]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _packed(_accumulated(dots(batches))):
+            yield _piece_batch(("bi", "bj", "k"), some)
 
-    products = a.tiles.mapInArrow(multiply, "bi bigint, bj bigint, k bigint, n int, m int, data array<double>")
+    products = a.tiles.mapInArrow(multiply, PRODUCT)
     return TileMatrix(_sum_products(products, a.col_blocks, fan_in), a.rows, across, a.tile_rows, width)
 
 

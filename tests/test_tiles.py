@@ -50,6 +50,37 @@ def test_matmul(spark, small_limit, a_tile, b_tile):
     assert np.allclose(dense(got), a @ b)
 
 
+def test_shuffled_values_are_at_most_tasks_times_result(spark):
+    """40 inner blocks in few tasks: a task passes on one tile per place, not one per place and inner block."""
+    a, b = rng.random((6, 80)), rng.random((80, 4))
+    x, y = matrix(spark, a, 3, 2), matrix(spark, b, 2, 2)
+    met = tiles.partial_products(x, y).withColumn("task", F.spark_partition_id())
+    per_task = met.groupBy("task").agg(F.sum(F.col("n") * F.col("m")).alias("values"), F.count("*").alias("tiles")).collect()
+    assert all(r["values"] <= 6 * 4 and r["tiles"] <= 4 for r in per_task)
+    assert sum(r["tiles"] for r in per_task) < 40 * 4
+    assert np.allclose(dense(tiles.matmul(x, y, fan_in=3, small_limit=0)), a @ b)
+
+
+@pytest.mark.parametrize("limit", [1, 5, 24])
+def test_sums_inside_a_task_are_bounded(limit):
+    dots = [(bi, bj, k, np.full((1, 2), 10.0**k)) for k in range(4) for bi in range(3) for bj in range(2)]
+    made = list(tiles._accumulated(((bi, bj, k, t.copy()) for bi, bj, k, t in dots), limit))
+    assert len({(bi, bj, k) for bi, bj, k, _ in made}) == len(made)
+    total = {}
+    for bi, bj, _, t in made:
+        total[bi, bj] = total.get((bi, bj), 0) + t
+    assert all(v.tolist() == [[1111.0, 1111.0]] for v in total.values()) and len(total) == 6
+    assert len(made) == (6 if limit == 24 else 24)
+
+
+def test_copies_are_bounded_by_bytes(spark):
+    tall, square = tiles.TileMatrix(None, 10**6, 100, 1000, 100), tiles.TileMatrix(None, 100, 100, 100, 100)
+    assert tiles._copies(tall, square, 500) == 500
+    assert tiles._copies(square, square, 500) == 1  # one block has nothing to spread
+    wide = tiles.TileMatrix(None, 10_000, 10_000, 100, 100)
+    assert tiles._copies(wide, wide, 20_000) == tiles.COPY_FACTOR
+
+
 def test_matmul_with_a_single_inner_block_uses_all_tasks(spark):
     a = rng.random((12, 2))
     x = matrix(spark, a, 1, 2)
