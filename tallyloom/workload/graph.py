@@ -137,6 +137,25 @@ def pagerank_personalised(spark: SparkSession, sf: str) -> DataFrame:
     return _ranks(_weighted(spark, sf), personalisation=wanted)
 
 
+@query(_rank_sql(_WEIGHTED, _SUPPLIER_TELEPORT, rounds=MAX_ITER) + _CONVERGED)
+def pagerank_personalised_converged(spark: SparkSession, sf: str) -> DataFrame:
+    """Personalised, until the ranks move by less than the tolerance."""
+    wanted = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("vertex"), F.col("s_acctbal").alias("value"))
+    ranks = graph.pagerank(_weighted(spark, sf), max_iter=MAX_ITER, tol=TOL, personalisation=wanted)
+    return ranks.select("vertex", F.round("pagerank", 9).alias("pagerank"))
+
+
+_SUPPLIER_START = _SUPPLIER_TELEPORT.replace(" AS t\n", " AS r\n")
+
+
+@query(_rank_sql(_UNDIRECTED, start=_SUPPLIER_START, rounds=MAX_ITER) + _CONVERGED)
+def pagerank_started_converged(spark: SparkSession, sf: str) -> DataFrame:
+    """From a start at the suppliers only, until the ranks move by less than the tolerance."""
+    start = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("vertex"), F.col("s_acctbal").alias("value"))
+    ranks = graph.pagerank(_undirected(spark, sf), max_iter=MAX_ITER, tol=TOL, nstart=start)
+    return ranks.select("vertex", F.round("pagerank", 9).alias("pagerank"))
+
+
 @query(_rank_sql(_WEIGHTED) + _RANKS)
 def pagerank_uniform_start(spark: SparkSession, sf: str) -> DataFrame:
     """Equal start and restart values for every vertex: the same ranks as without them."""
