@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.operators.aggregates import categories_of, column_stats, group_mean, group_stats, pivot_mean, sum_of_product
+from tallyloom.operators.factorised import Side, joined_pivot
 from tallyloom.operators.partitions import map_part_rows, part_counts, part_head, part_means, replicate_rows, total_rows, union_parts
 from tallyloom.plans import join_average, part_stats, wide_pivot
 from tallyloom.sources.datagen import category_dimension
@@ -48,17 +49,39 @@ def suffix_multijoin(spark: SparkSession, sf: str) -> DataFrame:
     return wide_pivot.joined_rows([slim] * 5, on="c_custkey")
 
 
+# Five different tables joined on one number: users, customers (twice) and parts (twice).
+_FIVE = """FROM events JOIN orders ON o_custkey = user_id JOIN customer ON c_custkey = user_id
+  JOIN part ON p_partkey = user_id JOIN lineitem ON l_partkey = user_id GROUP BY user_id"""
+
+
+def _five(spark: SparkSession, sf: str) -> list[Side]:
+    keys = {"events": "user_id", "orders": "o_custkey", "customer": "c_custkey", "part": "p_partkey", "lineitem": "l_partkey"}
+    return [Side(table(spark, sf, name), key) for name, key in keys.items()]
+
+
 _FILTERED = ", ".join(f"round(avg(value) FILTER (WHERE event_type = '{t}'), 6) AS {t}" for t in EVENT_TYPES)
 
 
-@query(f"SELECT user_id, {_FILTERED} FROM events GROUP BY user_id")
+@query(f"SELECT user_id, {_FILTERED} {_FIVE}")
 def join_pivot_mean(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events")
-    types = categories_of(events, "event_type")
-    means = wide_pivot.join_pivot([events] * 5, "user_id", "event_type", "value", types)
+    """Five tables joined, then the mean of the first one's value per key and category."""
+    sides = _five(spark, sf)
+    types = categories_of(sides[0].table, "event_type")
+    means = joined_pivot(sides, (0, "event_type"), (0, "value"), types, "mean", "user_id")
     return means.select("user_id", *[F.round(t, 6).alias(t) for t in types])
 
 
+_TOTALS = ", ".join(f"sum(l_quantity) FILTER (WHERE event_type = '{t}') AS {t}" for t in EVENT_TYPES)
+
+
+@query(f"SELECT user_id, count(*) AS n_rows, {_TOTALS} {_FIVE}")
+def join_pivot_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The same join with the category of one table and the value of another, and the number of joined rows."""
+    sides = _five(spark, sf)
+    types = categories_of(sides[0].table, "event_type")
+    return joined_pivot(sides, (0, "event_type"), (4, "l_quantity"), types, "sum", "user_id", "n_rows")
+
+
 @query(
     "SELECT l_suppkey, "
     + ", ".join(f"round(avg(l_quantity) FILTER (WHERE l_returnflag = '{f}'), 6) AS flag_{f}" for f in RETURN_FLAGS)
