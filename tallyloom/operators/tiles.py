@@ -7,7 +7,6 @@ tile (or one Arrow batch of tiles) at a time.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
@@ -15,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.scratch import discard, materialise
@@ -405,37 +404,64 @@ def _matmul_small(a: TileMatrix, b: TileMatrix, fan_in: int) -> TileMatrix:
     return TileMatrix(_sum_products(products, a.col_blocks, fan_in), a.rows, across, a.tile_rows, width)
 
 
-def gram(df: DataFrame, vector: str, cols: int) -> DataFrame:
-    """``X.T @ X`` as ``i, j, v``, where X has the arrays of a column as its rows.
+# Columns of a band, and the values that the blocks of one task may hold: 512 MiB, enough for 11,585 columns in one scan.
+BAND = 512
+GRAM_VALUES = 1 << 26
 
-    The columns are cut into bands. For every pair of bands each task adds its
-    rows into one block of at most ``SMALL_MATRIX`` values and sends that on; the
-    rows themselves are not shuffled. Up to 2,048 columns are one band.
-    """
-    width = math.isqrt(SMALL_MATRIX)
-    bands = [(low, min(width, cols - low)) for low in range(0, cols, width)]
-    return reduce(DataFrame.unionByName, [_band_product(df, vector, a, b) for n, a in enumerate(bands) for b in bands[n:]])
 
+def _band_pairs(cols: int, band: int, values: int) -> list[list[tuple[int, int]]]:
+    """All pairs of bands on and above the diagonal, in as few lists as hold at most ``values`` values of blocks each."""
+    count = -(-cols // band)
+    pairs = [(i, j) for i in range(count) for j in range(i, count)]
+    step = max(1, values // (band * band))
+    return [pairs[k : k + step] for k in range(0, len(pairs), step)]
 
-def _band_product(df: DataFrame, vector: str, a: tuple[int, int], b: tuple[int, int]) -> DataFrame:
-    """The cells of ``X.T @ X`` in the rows of band ``a`` and the columns of band ``b`` (first column, width), and their mirror."""
-    (top, high), (left, wide) = a, b
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = np.zeros((high, wide))
-        for batch in batches:
-            rows = _column_arrays(batch.column(0))
-            if rows:
+def gram_tiles(df: DataFrame, vector: str, cols: int, fan_in: int = 32, band: int = BAND, values: int = GRAM_VALUES) -> TileMatrix:
+    """``X.T @ X``, where X has the arrays of a column as its rows.
+
+    The rows are not shuffled: each task adds its rows into the blocks on and
+    above the diagonal, sends every block on once, and the blocks of the tasks
+    are added in a tree. The lower half is mirrored at the end. One scan does for
+    all blocks that ``values`` values hold; wider matrices take several.
+    """
+    spark = df.sparkSession
+    slots = max(fan_in, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def partial(pairs: list[tuple[int, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                rows = _column_arrays(batch.column(0))
+                if not rows:
+                    continue
                 x = np.stack(rows).astype(np.float64, copy=False)
-                block += x[:, top : top + high].T @ x[:, left : left + wide]
-        yield pa.RecordBatch.from_arrays([_list_column([block])], names=["data"])
-
-    blocks = df.where(F.col(vector).isNotNull()).select(F.col(vector)).mapInArrow(partial, "data array<double>")
-    cells = blocks.select(F.posexplode("data").alias("p", "v")).groupBy("p").agg(F.sum("v").alias("v"))
-    placed = cells.select((F.floor(F.col("p") / wide) + top).alias("i"), (F.col("p") % wide + left).cast("bigint").alias("j"), "v")
-    if a == b:
-        return placed
-    return placed.unionByName(placed.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+                if x.shape[1] != cols:
+                    raise ValueError(f"vectors of {x.shape[1]} values, {cols} expected")
+                for i, j in pairs:
+                    product = x[:, i * band : (i + 1) * band].T @ x[:, j * band : (j + 1) * band]
+                    blocks[i, j] = blocks[i, j] + product if (i, j) in blocks else product
+            task = TaskContext.get().partitionId() % slots
+            for some in _packed((i, j, task, block) for (i, j), block in blocks.items()):
+                yield _piece_batch(("bi", "bj", "k"), some)
+
+        return run
+
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("row"))
+    scans = [rows.mapInArrow(partial(pairs), PRODUCT) for pairs in _band_pairs(cols, band, values)]
+    upper = _sum_products(reduce(DataFrame.unionByName, scans), slots, fan_in)
+
+    def mirrored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _packed(t for bi, bj, tile in _tile_rows(batch) for t in ([(bi, bj, tile)] + ([(bj, bi, tile.T)] if bi != bj else []))):
+                yield _tile_batch(some)
+
+    return TileMatrix(upper.mapInArrow(mirrored, TILE), cols, cols, band, band)
+
+
+def gram(df: DataFrame, vector: str, cols: int, **options) -> DataFrame:
+    """The values of :func:`gram_tiles` as ``i, j, v``; a table without rows has none."""
+    return to_coordinates(gram_tiles(df, vector, cols, **options))
 
 
 # --- reducing, iterating, reusing -------------------------------------------

@@ -112,15 +112,29 @@ def test_rows_gram_and_stats(spark):
     assert np.allclose([s["total"], s["mean"], s["std"]], [v.sum(dtype=float), v.mean(dtype=float), v.std(dtype=float)])
 
 
-def test_gram_of_many_columns(spark, monkeypatch):
-    monkeypatch.setattr(tiles, "SMALL_MATRIX", 16)  # bands of four columns
+@pytest.mark.parametrize("options", [{"band": 4}, {"band": 4, "values": 32}, {"band": 4, "values": 1, "fan_in": 2}, {"band": 64}])
+def test_gram_of_many_columns(spark, options):
     v = rng.random((30, 11))
     df = spark.createDataFrame([(r.tolist(),) for r in v] + [(None,)], "e array<double>").repartition(3)
-    cells = tiles.gram(df, "e", 11).collect()
+    cells = tiles.gram(df, "e", 11, **options).collect()
     g = np.full((11, 11), np.nan)
     for r in cells:
         g[r["i"], r["j"]] = r["v"]
     assert len(cells) == 121 and np.allclose(g, v.T @ v)
+    assert tiles.gram(df.limit(0), "e", 11, **options).count() == 0
+
+
+def test_gram_of_wide_rows_in_one_scan(spark):
+    """2,100 columns are 15 pairs of bands and one scan; a task sends one row per pair, not one per cell."""
+    v = rng.random((12, 2100))
+    df = spark.createDataFrame([(r.tolist(),) for r in v], "e array<double>").repartition(3)
+    made = tiles.gram_tiles(df, "e", 2100)
+    plan = made.tiles._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Generate" not in plan
+    assert len(tiles._band_pairs(10_000, tiles.BAND, tiles.GRAM_VALUES)) == 1
+    assert np.allclose(dense(made), v.T @ v)
+    with pytest.raises(Exception, match="2100 values, 7 expected"):
+        tiles.gram(df, "e", 7).collect()
 
 
 def test_both_multiply_forms_give_the_same_tiles(spark):
