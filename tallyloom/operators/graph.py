@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.scratch import discard, materialise, partitions_for
 
@@ -181,7 +181,7 @@ def pagerank_run(
         nodes = nodes.union(alone).groupBy("vertex").agg(F.expr("max(out_weight) AS out_weight"), F.expr("max(pieces) AS pieces"))
     nodes = materialise(nodes, "vertices")
     counts = nodes.agg(
-        F.count("*").alias("n"), F.max("pieces").alias("pieces")
+        F.count("*").alias("n"), F.count_if(F.col("out_weight") <= 0).alias("dangling"), F.max("pieces").alias("pieces")
     ).first()
     if not counts["n"]:
         raise ValueError("the graph has no vertices")
@@ -195,33 +195,36 @@ def pagerank_run(
                 state.drop(column).join(kept, "vertex", "left")
                 .withColumn(column, F.coalesce(F.col("value") / whole, F.lit(0.0))).drop("value")
             )
-    state, stuck, _ = _stored(state.withColumn("step", F.lit(None).cast("double")))
+    state = materialise(state.withColumn("step", F.lit(None).cast("double")), "ranks")
 
     # Laid out once by the join key; every round then moves only the shares.
     laid_out, keys = _lay_out(edges, nodes, counts["pieces"])
     resident = laid_out.persist(StorageLevel.MEMORY_AND_DISK)
 
     rounds, delta, converged = 0, None, False
+    stuck, _ = _progress(state) if counts["dangling"] else (0.0, None)
     try:
         while rounds < max_iter and not converged:
-            before, (state, stuck, delta) = state, _stored(_next_round(state, resident, keys, alpha, stuck))
+            before, state = state, materialise(_next_round(state, resident, keys, alpha, stuck), "ranks")
             discard(spark, before)
             rounds += 1
+            if counts["dangling"] or tol is not None:
+                stuck, delta = _progress(state)
             converged = tol is not None and delta < tol
     finally:
         resident.unpersist()
     return RankRun(state.select("vertex", F.col("rank").alias("pagerank")), rounds, delta, converged)
 
 
-def _stored(state: DataFrame) -> tuple[DataFrame, float, float]:
-    """The stored state, the rank held by vertices without out-edges, and how far the ranks moved.
+def _progress(state: DataFrame) -> tuple[float, float]:
+    """Rank held by vertices without out-edges, and how far the ranks moved in the last round.
 
-    Both numbers are observed while the state is written, so no round is read a second time for them.
+    Two columns of the stored ranks are read. An ``Observation`` of the write would
+    spare that, but a session that has used one can no longer fit a forest: its
+    tasks then fail with "ObservationManager is not serializable" (Spark 4.1).
     """
-    seen = Observation()
-    held = F.sum(F.when(F.col("out_weight") <= 0, F.col("rank"))).alias("stuck")
-    stored = materialise(state.observe(seen, held, F.sum("step").alias("moved")), "ranks")
-    return stored, seen.get["stuck"] or 0.0, seen.get["moved"] or 0.0
+    row = state.agg(F.sum(F.when(F.col("out_weight") <= 0, F.col("rank"))), F.sum("step")).first()
+    return row[0] or 0.0, row[1] or 0.0
 
 
 def _next_round(state: DataFrame, edges: DataFrame, keys: list[str], alpha: float, stuck: float) -> DataFrame:
