@@ -40,7 +40,7 @@ from tallyloom.llm.text import rows
 from tallyloom.scratch import materialise
 
 LONGEST = 3
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 PROBES = 3
 LEAST_BITS, MOST_BITS = 16, 28  # logarithms: the filter has 8 KiB to 32 MiB
 
@@ -109,7 +109,7 @@ def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     packed = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(codes[inside])])
     numbered = packed.dictionary_encode()
-    piece = np.cumsum(kind == 2, dtype=np.int64)[starts] if len(starts) else np.zeros(0, np.int64)
+    piece = np.cumsum(kind == 2, dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int32)
     return numbered.dictionary, numbered.indices.to_numpy().astype(np.int64), piece
 
 
@@ -182,10 +182,10 @@ def counted(docs: DataFrame, proposed: Proposed | None = None, before: Proposed
             sizes.pop(lang)
             for length, phrases, counts in block_counts(lang, held.pop(lang), now, old, first):
                 n = len(phrases)
-                for low in range(0, n, 100_000):
-                    part = phrases.slice(low, 100_000)
+                for low in range(0, n, 20_000):
+                    part = phrases.slice(low, 20_000)
                     columns = [pa.array(np.full(len(part), length, np.int32)), pa.array([lang]).take(pa.array(np.zeros(len(part), np.int64))), part.cast(pa.string())]
-                    yield pa.record_batch([*columns, pa.array(counts[low : low + 100_000], pa.int64())], names=["length", "lang", "phrase", "f"])
+                    yield pa.record_batch([*columns, pa.array(counts[low : low + 20_000], pa.int64())], names=["length", "lang", "phrase", "f"])
 
         for lang, text in rows(batches, ("lang", "text")):
             data = text.encode()
