@@ -18,7 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,35 +51,97 @@ NAMED = re.compile(
 )
 BODY_NAMED = re.compile(r"(?i)(?:^|[^a-z])(?:article|content|post|entry|story|main|body|text)(?:$|[^a-z])")
 LEGAL = re.compile(r"(?i)©|\(c\)|copyright|all rights reserved|cookie")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WHITE = re.compile(r"\s+")
 
 
+class Element:
+    """A block element: its number, the one around it, and how deep it lies."""
+
+    __slots__ = ("number", "parent", "depth")
+
+    def __init__(self, number: int, parent: Element | None):
+        self.number, self.parent, self.depth = number, parent, parent.depth + 1 if parent else 1
+
+
 class Block:
-    """A run of text without a block boundary, with the path of elements around it."""
+    """A run of text without a block boundary, in the innermost block element around it."""
 
-    __slots__ = ("text", "path", "weight", "linked", "heading")
+    __slots__ = ("text", "inside", "weight", "linked", "heading")
 
-    def __init__(self, text: str, path: tuple[int, ...], weight: float, linked: int, heading: bool):
-        self.text, self.path, self.weight, self.linked, self.heading = text, path, weight, linked, heading
+    def __init__(self, text: str, inside: Element | None, weight: float, linked: int, heading: bool):
+        self.text, self.inside, self.weight, self.linked, self.heading = text, inside, weight, linked, heading
+
+
+class Tags:
+    """The tags of a page in order, in time linear in its length whatever it holds."""
+
+    def __init__(self, page: str):
+        self.page, self.span, self.ends = page, (0, -1), {}
+
+    def _special(self, at: int) -> int:
+        """The next end of tag or quote; one that lies ahead is not searched for again."""
+        if not self.span[0] <= at <= self.span[1]:
+            m = SPECIAL.search(self.page, at)
+            self.span = (at, m.start() if m else len(self.page))
+        return self.span[1]
+
+    def _end(self, at: int) -> int:
+        """After the ``>`` that ends a tag, outside quotes; -1 if there is none. What one search learned serves the next."""
+        passed, end = [], -1
+        while (s := self._special(at)) < len(self.page):
+            if s in self.ends:
+                end = self.ends[s]
+                break
+            passed.append(s)
+            if self.page[s] == ">":
+                end = s + 1
+                break
+            close = self.page.find(self.page[s], s + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.ends.update(dict.fromkeys(passed, end))
+        return end
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, whether it closes, name and attributes of the next tag; comments and declarations have no name."""
+        page, size = self.page, len(self.page)
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, size if end < 0 else end + 3, False, "", ""
+            if page.startswith(("<!", "<?"), start):
+                end = page.find(">", start + 2)
+                return start, size if end < 0 else end + 1, False, "", ""
+            m = NAME.match(page, start)
+            end = self._end(m.end()) if m else -1
+            if end >= 0:
+                return start, end, bool(m.group(1)), m.group(2).lower(), page[m.end() : end - 1]
+            at = start + 1
+        return None
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks in page order, white space made single."""
     found: list[Block] = []
-    stack: list[tuple[str, int, float, bool]] = []  # name, number, weight toward boilerplate, unread
+    # Name, innermost block element, weight toward boilerplate with all elements around, unread, whether a heading is open.
+    stack: list[tuple[str, Element | None, float, bool, bool]] = []
+    outside = ("", None, 0.0, False, False)
+    open_names: Counter[str] = Counter()
     parts: list[str] = []
-    linked, number, at, links = 0, 0, 0, 0
+    linked, number, at = 0, 0, 0
+    tags = Tags(page)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = WHITE.sub(" ", "".join(parts)).strip()
             if text:
-                weight = sum(s[2] for s in stack)
-                heading = any(len(s[0]) == 2 and s[0][0] == "h" and s[0][1].isdigit() for s in stack)
-                found.append(Block(text, tuple(s[1] for s in stack if s[0] in BLOCK_TAGS), weight, linked, heading))
+                _, inside, weight, _, heading = stack[-1] if stack else outside
+                found.append(Block(text, inside, weight, linked, heading))
             parts.clear()
         linked = 0
 
@@ -88,31 +150,28 @@ def blocks(page: str) -> list[Block]:
         if raw and not (stack and stack[-1][3]):
             text = html.unescape(raw)
             parts.append(text)
-            if links:
+            if open_names["a"]:
                 linked += len(text.strip())
 
     def close(depth: int) -> None:
-        nonlocal links
         if any(s[0] in BLOCK_TAGS for s in stack[depth:]):
             flush()
-        links -= sum(s[0] == "a" for s in stack[depth:])
+        open_names.subtract(s[0] for s in stack[depth:])
         del stack[depth:]
 
     while True:
-        m = TOKEN.search(page, at)
-        if not m:
+        tag = tags.after(at)
+        if not tag:
             words(page[at:])
             break
-        words(page[at : m.start()])
-        at = m.end()
-        name = (m.group(2) or "").lower()
+        start, end, closes, name, attributes = tag
+        words(page[at:start])
+        at = end
         if not name:
             continue
-        if m.group(1):
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    close(depth)
-                    break
+        if closes:
+            if open_names[name] > 0:
+                close(next(depth for depth in range(len(stack) - 1, -1, -1) if stack[depth][0] == name))
             continue
         if name == "br":
             words(" ")
@@ -128,9 +187,10 @@ def blocks(page: str) -> list[Block]:
         if name in VOID_TAGS:
             continue
         number += 1
-        weight, unread = OUTSIDE.get(name, 0.0), name in UNREAD_TAGS or bool(stack and stack[-1][3])
-        if m.group(3) and name not in ("html", "body"):
-            for key, value in ATTRIBUTE.findall(m.group(3)):
+        _, inside, around, unread, heading = stack[-1] if stack else outside
+        weight, unread = OUTSIDE.get(name, 0.0), unread or name in UNREAD_TAGS
+        if attributes and name not in ("html", "body"):
+            for key, value in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'")
                 if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                     unread = True
@@ -138,11 +198,12 @@ def blocks(page: str) -> list[Block]:
                     body = bool(BODY_NAMED.search(value))
                     weight += (3.0 if body else 6.0) if NAMED.search(value) else -1.0 if body else 0.0
         if name in RAW_TAGS:
-            end = re.compile(rf"(?i)</{name}\b[^>]*>?").search(page, at)
-            at = end.end() if end else len(page)
+            last = re.compile(rf"(?i)</{name}\b[^>]*>?").search(page, at)
+            at = last.end() if last else len(page)
             continue
-        stack.append((name, number, weight, unread))
-        links += name == "a"
+        heading = heading or len(name) == 2 and name[0] == "h" and name[1].isdigit()
+        stack.append((name, Element(number, inside) if name in BLOCK_TAGS else inside, around + weight, unread, heading))
+        open_names[name] += 1
     flush()
     return found
 
@@ -164,12 +225,13 @@ def costs(block: Block) -> float:
 
 def smoothness(a: Block, b: Block) -> float:
     """Weight of keeping two neighbouring blocks together: large for siblings, small for far branches."""
-    common = 0
-    for x, y in zip(a.path, b.path):
-        if x != y:
-            break
-        common += 1
-    apart = len(a.path) + len(b.path) - 2 * common
+    x, y, apart = a.inside, b.inside, 0
+    while x is not y:  # up from the deeper one until the paths meet
+        if y is None or x is not None and x.depth >= y.depth:
+            x = x.parent
+        else:
+            y = y.parent
+        apart += 1
     return 1.6 / (1 + max(0, apart - 2)) if apart > 2 else 1.6
 
 
@@ -245,7 +307,7 @@ def main_text(page: str | None) -> str:
     edges = [(i, i + 1, smoothness(found[i], found[i + 1])) for i in range(len(found) - 1)]
     last: dict[int, int] = {}
     for i, block in enumerate(found):  # the nearest earlier block below the same parent, if another one lies between
-        parent = block.path[-2] if len(block.path) > 1 else -1
+        parent = block.inside.parent.number if block.inside and block.inside.parent else -1
         if parent in last and last[parent] < i - 1:
             edges.append((last[parent], i, 0.8))
         last[parent] = i
