@@ -13,8 +13,8 @@ corpus. Terms far below the band that share a place with each other stay below
 it, because the band is relative to the number of documents.
 
 The next document in descending id is found with one shuffle of the texts: ids
-are cut into ranges, the head of each range is also sent to the range above,
-and a window looks inside a range.
+are cut into ranges at quantiles, the head of each range is also sent to the
+range above, and a window looks inside a range.
 
 Defined results: a null text is empty; an empty text has an empty lexicon part
 and its fingerprint is all zeros; two fingerprints without any term are alike
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.tables import bit_array, has_bit
 from tallyloom.scratch import materialise
 
-LOG2, DRAWS, DENSITIES = 18, 10, (3, 5, 7)
+LOG2, DRAWS, DENSITIES, BUCKETS = 18, 10, (3, 5, 7), 256
 
 
 def places(text: Column) -> Column:
@@ -69,21 +69,36 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(used > 0, same / used).otherwise(F.lit(1.0))
 
 
+def id_ranges(rows: DataFrame, ranges: int) -> Column:
+    """Number of the range of ids a row falls in, rising with the id; -1 for null ids.
+
+    Ids are cut at quantiles first, so that ids far away from the others do not stretch the ranges, and evenly between them.
+    """
+    quantiles = [q / BUCKETS for q in range(BUCKETS + 1)]
+    edges = sorted(set(rows.agg(F.percentile_approx("doc_id", quantiles, 100 * BUCKETS)).first()[0] or [0]))
+    inside = -(-ranges // len(edges))
+    # Ids may span all 64 bits, their differences more.
+    number = lambda c: c.cast("decimal(20,0)")
+    lows, highs = (F.array(*[F.lit(e).cast("long") for e in x]) for x in (edges, edges[1:] + edges[-1:]))
+    at = F.greatest(F.size(F.filter(lows, lambda e: e <= F.col("doc_id"))), F.lit(1))
+    width = F.floor((number(F.get(highs, at - 1)) - number(F.get(lows, at - 1))) / inside).cast("decimal(20,0)") + 1
+    step = F.floor((number(F.col("doc_id")) - number(F.get(lows, at - 1))) / width).cast("long")
+    # The least and the greatest id are exact quantiles; ids that an approximate one leaves outside go to the nearest range.
+    step = F.least(F.greatest(step, F.lit(0)), F.lit(inside - 1))
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(((at - 1) * inside + step).cast("int"))
+
+
 def with_next(rows: DataFrame, ranges: int) -> DataFrame:
     """``rows`` (doc_id, text, ...) with ``next``: a struct of the row that follows in descending id, the first after the last."""
     carried = rows.columns
-    ends = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    if ends["low"] is None:
-        ranges, low, width = 1, 0, 1
-    else:
-        low, width = ends["low"], (ends["high"] - ends["low"]) // ranges + 1
-    piece = F.coalesce(F.floor((F.col("doc_id") - low) / width).cast("int"), F.lit(-1))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    piece = id_ranges(rows, ranges)
+    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
     heads = rows.select(piece.alias("piece"), "doc_id").groupBy("piece").agg(F.max("doc_id").alias("head"))
     # One row per range: its head is the next document of the range above, the head of all follows the last range.
     above = F.coalesce(F.lag("piece").over(W.orderBy(F.col("piece").desc())), F.min("piece").over(W.partitionBy()))
-    heads = heads.select("piece", "head", above.alias("goes_to")).withColumnRenamed("piece", "head_piece")
-    placed = rows.withColumn("piece", piece).join(F.broadcast(heads), (F.col("piece") == F.col("head_piece")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    # Stored, so that Spark knows the size before it chooses the join.
+    heads = materialise(heads.select(F.col("piece").alias("head_piece"), "head", above.alias("goes_to")), "imatch-heads")
+    placed = rows.withColumn("piece", piece).join(heads, (F.col("piece") == F.col("head_piece")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
     copies = F.when(F.col("goes_to").isNotNull(), F.array(F.struct(F.col("piece").alias("of"), F.lit(0).alias("extra")), F.struct(F.col("goes_to").alias("of"), F.lit(1).alias("extra"))))
     copies = F.coalesce(copies, F.array(F.struct(F.col("piece").alias("of"), F.lit(0).alias("extra"))))
     dealt = placed.select(*carried, F.inline(copies))
