@@ -107,18 +107,44 @@ def _tile_batch(tiles: Sequence[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
 # --- building ---------------------------------------------------------------
 
 
+def _checked(row: Column, vector: Column, rows: int, cols: int) -> Column:
+    """The vector as doubles; an error for an id outside 0..rows-1, a null vector or value, or another length."""
+    fits = row.between(0, rows - 1) & (F.size(vector) == cols) & F.forall(vector, lambda v: v.isNotNull())
+    text = F.concat(F.lit(f"no row of a {rows} x {cols} matrix: id "), F.coalesce(row.cast("string"), F.lit("null")))
+    return F.when(fits, vector.cast("array<double>")).otherwise(F.raise_error(text).cast("array<double>"))
+
+
 def from_rows(df: DataFrame, row: str, vector: str, rows: int, cols: int) -> TileMatrix:
     """Matrix whose tiles are the rows of a table with an array column; nothing is moved.
 
-    ``row`` numbers the rows from 0.
+    ``row`` numbers the rows from 0, each number once. Ids out of range, nulls and vectors of another length raise when
+    the matrix is read; gaps and repeated ids are not looked for, see ``from_sparse_rows``.
     """
     tiles = df.select(
         F.col(row).cast("bigint").alias("bi"), F.lit(0).cast("bigint").alias("bj"), F.lit(1).alias("n"), F.lit(cols).alias("m"),
-        F.col(vector).cast("array<double>").alias("data"),
+        _checked(F.col(row).cast("bigint"), F.col(vector), rows, cols).alias("data"),
     )
     return TileMatrix(tiles, rows, cols, 1, cols)
 
 
+def from_sparse_rows(df: DataFrame, row: str, vector: str, cols: int) -> TileMatrix:
+    """Matrix of max id + 1 rows; ids that the table lacks are rows of zeros. Vectors are not moved, only ids are.
+
+    Repeated, negative and null ids raise here, ill-formed vectors when the matrix is read. An empty table has no rows.
+    """
+    ids = df.select(F.col(row).cast("bigint").alias("id"))
+    low, high, n, nulls = ids.agg(F.min("id"), F.max("id"), F.count(F.lit(1)), F.count(F.when(F.col("id").isNull(), 1))).first()
+    if nulls or low is not None and low < 0:
+        raise ValueError(f"{row} holds {nulls} nulls, least id {low}")
+    rows = 0 if high is None else high + 1
+    lacking = materialise(df.sparkSession.range(rows).join(ids, "id", "left_anti"), "matrix-gaps")
+    if n + lacking.count() != rows:
+        raise ValueError(f"{row} holds ids more than once")
+    zeros = lacking.select(F.col("id").alias(row), F.array_repeat(F.lit(0.0), cols).alias(vector))
+    given = df.select(row, F.col(vector).cast("array<double>").alias(vector))
+    return from_rows(given.unionByName(zeros), row, vector, rows, cols)
+
+
 def from_coordinates(
     cells: DataFrame, rows: int, cols: int, tile_rows: int, tile_cols: int, unique: bool = False
 ) -> TileMatrix:

@@ -121,3 +121,14 @@ def persist_reuse(spark: SparkSession, sf: str) -> DataFrame:
         squares = materialise(tiles.matrix_stats(matrix_jobs.squares_of_shifted(y)).select(F.col("total").alias("squares")), "squares")
     both = total.select(F.lit(1).alias("k"), "total").join(squares.select(F.lit(1).alias("k"), "squares"), "k")
     return both.select(F.round("total", 5).alias("total"), F.round("squares", 5).alias("squares"))
+
+
+@query(
+    """WITH c AS (SELECT 3 * vec_id AS i, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+    SELECT j, (SELECT 3 * max(vec_id) + 1 FROM embeddings) AS n_rows, count(*) FILTER (WHERE v <> 0) AS n_filled, round(sum(v), 6) AS total FROM c GROUP BY j"""
+)
+def matrix_sparse_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns of a matrix from ids with gaps: every third row is given, the others are zeros."""
+    vectors = table(spark, sf, "embeddings").select((3 * F.col("vec_id")).alias("id"), "embedding")
+    cells = tiles.to_coordinates(tiles.from_sparse_rows(vectors, "id", "embedding", COLS))
+    return cells.groupBy("j").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("v") != 0, 1)).alias("n_filled"), F.round(F.sum("v"), 6).alias("total"))

@@ -170,3 +170,27 @@ def test_persisted_is_released(spark):
         total = tiles.matrix_stats(matrix_jobs.squares_of_shifted(y)).first()["total"]
     assert not y.tiles.is_cached
     assert abs(total - ((dense(x) + 1) ** 2).sum()) < 1e-9
+
+
+def test_rows_from_ids_with_gaps(spark):
+    df = spark.createDataFrame([(4, [1.0, 2.0]), (0, [3.0, 4.0]), (7, [5.0, 6.0])], "id bigint, e array<double>")
+    x = tiles.from_sparse_rows(df, "id", "e", 2)
+    want = np.zeros((8, 2))
+    want[[4, 0, 7]] = [[1, 2], [3, 4], [5, 6]]
+    assert (x.rows, x.cols) == (8, 2) and np.array_equal(dense(x), want)
+    assert tiles.matrix_stats(x).first()["mean"] == pytest.approx(want.mean())
+    assert tiles.from_sparse_rows(df.limit(0), "id", "e", 2).tiles.count() == 0
+
+
+@pytest.mark.parametrize("ids", [[0, 0, 2], [-1, 0], [None, 0]])
+def test_ids_that_number_no_rows(spark, ids):
+    df = spark.createDataFrame([(i, [1.0]) for i in ids], "id bigint, e array<double>")
+    with pytest.raises(ValueError):
+        tiles.from_sparse_rows(df, "id", "e", 1)
+
+
+@pytest.mark.parametrize("row", [(1, [1.0]), (1, [1.0, 2.0, 3.0]), (1, None), (1, [None, 1.0]), (9, [1.0, 2.0]), (None, [1.0, 2.0])])
+def test_ill_formed_rows_raise(spark, row):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), row], "id bigint, e array<double>")
+    with pytest.raises(Exception, match="no row of a 2 x 2 matrix"):
+        tiles.from_rows(df, "id", "e", 2, 2).tiles.collect()
