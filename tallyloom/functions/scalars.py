@@ -49,9 +49,33 @@ def label_with(prefix: str, value: Column | str) -> Column:
 # retried task or another cluster size gives the same table.
 
 
-def uniform_sql(key: str, salt: int) -> str:
-    """SQL text of a double in [0, 1) made from a 64-bit hash of the key column and the salt."""
-    return f"(shiftrightunsigned(xxhash64({key}, {salt}), 11) * {2.0**-53!r}D)"
+# The hash needs only whole-number arithmetic below 2^63, so any SQL engine can
+# state it and give the same values, row by row.
+
+MODULUS = 2**31 - 1
+ROUNDS = [(13, 1597334677), (15, 1812433253)]
+
+
+def spread_sql(key: str, salt: int | str) -> str:
+    """SQL text of the hash before its mixing rounds; the salt is a number or the SQL text of one."""
+    if isinstance(salt, int):
+        offset = str((salt * 1103515245 + 12345) % MODULUS)
+    else:
+        offset = f"(CAST({salt} AS bigint) * 1103515245 + 12345) % {MODULUS}"
+    wide = f"CAST({key} AS bigint)"
+    return f"(({wide} & {MODULUS}) * 48271 + (shiftright({wide}, 31) % {MODULUS} + {MODULUS}) * 40692 + {offset}) % {MODULUS}"
+
+
+def round_sql(x: str, shift: int, factor: int) -> str:
+    return f"(({x}) ^ shiftright({x}, {shift})) * {factor} % {MODULUS}"
+
+
+def uniform_sql(key: str, salt: int | str) -> str:
+    """SQL text of a double in [0, 1) made from a 31-bit hash of the whole-number key column and the salt."""
+    x = spread_sql(key, salt)
+    for shift, factor in ROUNDS:
+        x = round_sql(x, shift, factor)
+    return f"(({x}) / {MODULUS}.0D)"
 
 
 def uniform(key: str, salt: int) -> Column:

@@ -60,7 +60,12 @@ def out_degree(edges: DataFrame) -> DataFrame:
 
 
 def row_normalise(edges: DataFrame) -> DataFrame:
-    """Weights divided by the total of their source, so the out-edges of a vertex sum to 1."""
+    """Weights divided by the total of their source, so the out-edges of a vertex sum to 1.
+
+    The edges are stored first: both sides of the join read them, and making
+    them may be an aggregation over far more rows.
+    """
+    edges = materialise(edges.select("src", "dst", "weight"), "edges")
     totals = edges.groupBy("src").agg(F.sum("weight").alias("_total"))
     return edges.join(totals, "src").select("src", "dst", (F.col("weight") / F.col("_total")).alias("weight"))
 

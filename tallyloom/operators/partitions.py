@@ -6,7 +6,7 @@ when the cluster or the file layout changes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -45,6 +45,28 @@ def union_parts(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def union_of_conditions(df: DataFrame, parts: Mapping[str, Column], tag: str = "part") -> DataFrame:
+    """The union of ``df.where(condition)`` over named conditions, in one scan; ``tag`` names the part.
+
+    A row appears once for every condition that holds.
+    """
+    tags = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in parts.items()]))
+    return df.select("*", F.explode(tags).alias(tag))
+
+
+def union_totals(df: DataFrame, parts: Mapping[str, Column], keys: Sequence[str], values: Sequence[str], tag: str = "part") -> DataFrame:
+    """Row counts (``n_rows``) and sums per part and key of :func:`union_of_conditions`.
+
+    Rows are summed per combination of parts first and repeated after that, so
+    overlapping parts do not multiply the rows.
+    """
+    held = [F.coalesce(condition, F.lit(False)).alias(f"_part{i}") for i, condition in enumerate(parts.values())]
+    flags = [f"_part{i}" for i in range(len(parts))]
+    sums = df.select(*keys, *values, *held).groupBy(*keys, *flags).agg(F.count("*").alias("n_rows"), *[F.sum(v).alias(v) for v in values])
+    whole = union_of_conditions(sums, {name: F.col(flag) for name, flag in zip(parts, flags)}, tag)
+    return whole.groupBy(tag, *keys).agg(F.sum("n_rows").alias("n_rows"), *[F.sum(v).alias(v) for v in values])
+
+
 def map_part_rows(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Apply a pandas function to batches of rows, wherever they are; nothing is shuffled."""
 

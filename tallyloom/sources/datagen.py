@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.functions.scalars import (
-    bernoulli, choice, label_with, normal, uniform, uniform_int, uniform_real, uniform_sql,
+    MODULUS, ROUNDS, bernoulli, choice, label_with, normal, round_sql, spread_sql, uniform, uniform_int, uniform_real, uniform_sql,
 )
 
 # Lowest and highest value of each banking column.
@@ -32,34 +32,73 @@ BANKING_RANGES = {
 }
 BANKING_FEATURES = list(BANKING_RANGES)
 
-# The categories of the wide table.
+# The categories of the wide table and the range of its numbers.
 WIDE_CATEGORIES = list("ABCDEFGHIJKLMNO")
+WIDE_RANGE = (1, 50_000_000)
 
 
-def _stepped(key: str, salt: int, low: float, high: float, name: str) -> str:
-    """SQL text of low, low + 1, low + 2, ... with equal odds, never above high.
-
-    Text, because a table of ten thousand such columns is then one call to Spark.
-    """
-    steps = f"floor({uniform_sql(key, salt)} * {float(high - low + 1)!r}D)"
-    return f"CAST(least({float(low)!r}D + {steps}, {float(high)!r}D) AS float) AS {name}"
+def _steps(uniform: str, given: str, low: float, high: float) -> str:
+    """SQL text of low, low + 1, low + 2, ... with equal odds, never above high; null where ``given`` is null."""
+    value = f"least({float(low)!r}D + floor({uniform} * {float(high - low + 1)!r}D), {float(high)!r}D)"
+    return f"if({given} IS NULL, NULL, CAST({value} AS float))"
 
 
 def banking(base: DataFrame, key: str = "id") -> DataFrame:
-    columns = [_stepped(key, i, low, high, name) for i, (name, (low, high)) in enumerate(BANKING_RANGES.items())]
+    columns = [f"{_steps(uniform_sql(key, i), key, low, high)} AS {name}" for i, (name, (low, high)) in enumerate(BANKING_RANGES.items())]
     return base.selectExpr(*columns, f"CAST({uniform_sql(key, 100)} >= 0.9D AS int) AS fraud_trx")
 
 
-def wide(base: DataFrame, key: str = "id", columns: int = 10_000, id_range: int = 50_000_000) -> DataFrame:
-    """``unique_id`` (drawn with replacement), ``col1`` and float columns up to ``columns`` in all."""
+def _hashed(base: DataFrame, key: str, salts: list[int] | list[str], kept: list[str]) -> DataFrame:
+    """Columns ``_0``, ``_1``, ... with one hash per salt.
+
+    One projection per round keeps the text of every column short: a round uses
+    its argument twice, and thousands of columns are parsed in one call.
+    """
+    made = base.selectExpr(*kept, *[f"{spread_sql(key, salt)} AS _{i}" for i, salt in enumerate(salts)])
+    for shift, factor in ROUNDS:
+        made = made.selectExpr(*kept, *[f"{round_sql(f'_{i}', shift, factor)} AS _{i}" for i in range(len(salts))])
+    return made
+
+
+def _wide_value(hashed: str) -> str:
+    return _steps(f"({hashed} / {MODULUS}.0D)", hashed, *WIDE_RANGE)
+
+
+def _wide_labels(key: str, id_range: int) -> list[str]:
     categories = ", ".join(f"'{c}'" for c in WIDE_CATEGORIES)
-    return base.selectExpr(
+    return [
         f"concat('ID', CAST(1 + floor({uniform_sql(key, 0)} * {id_range}) AS bigint)) AS unique_id",
         f"get(array({categories}), CAST(pmod({key}, {len(WIDE_CATEGORIES)}) AS int)) AS col1",
-        *[_stepped(key, i, 1, 50_000_000, f"col{i}") for i in range(2, columns)],
+    ]
+
+
+def wide(base: DataFrame, key: str = "id", columns: int = 10_000, id_range: int = 50_000_000) -> DataFrame:
+    """``unique_id`` (drawn with replacement), ``col1`` and float columns up to ``columns`` in all."""
+    hashed = _hashed(base, key, list(range(2, columns)), [key])
+    return hashed.selectExpr(
+        *_wide_labels(key, id_range), *[f"{_wide_value(f'_{i}')} AS col{i + 2}" for i in range(columns - 2)]
     )
 
 
+def wide_cells(base: DataFrame, key: str = "id", columns: int = 10_000, tasks: int | None = None) -> DataFrame:
+    """The number columns of the wide table as ``key, column_number, value``: equal to those of :func:`wide`.
+
+    The column's number is data, so one expression is compiled however wide the
+    table is. The keys are dealt out to tasks first, as each becomes thousands
+    of rows.
+    """
+    tasks = tasks or 4 * base.sparkSession.sparkContext.defaultParallelism
+    numbers = F.explode(F.sequence(F.lit(2), F.lit(columns - 1))).alias("column_number")
+    cells = base.select(key).repartition(tasks).select(key, numbers)
+    hashed = _hashed(cells, key, ["column_number"], [key, "column_number"])
+    return hashed.selectExpr(key, "column_number", f"{_wide_value('_0')} AS value")
+
+
+def column_sums(cells: DataFrame) -> DataFrame:
+    """Rows and sum of every column: partial sums per task, one row per column and task is shuffled."""
+    return cells.groupBy("column_number").agg(F.count("value").alias("n_rows"), F.sum("value").alias("total"))
+
+
 def _some_day(key: str, salt: int) -> Column:
     return F.concat_ws("-", F.lit("2022"), uniform_int(key, salt, 1, 12).cast("string"), uniform_int(key, salt + 1, 1, 28).cast("string"))
 

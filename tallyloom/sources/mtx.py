@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.scratch import scratch_path
@@ -9,44 +13,67 @@ from tallyloom.scratch import scratch_path
 BANNER = "%%MatrixMarket"
 
 
-def _parsed_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-    )
+def _opening(spark: SparkSession, path: str) -> tuple[list[str], str]:
+    """The file that begins with the banner, as Spark may spell it, and the banner.
+
+    Only first lines are read, by the driver, in the order of the names, until
+    the banner is found; :func:`write_mtx` puts it into a part that sorts first.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    for name in sorted(spark.read.text(path).inputFiles()):
+        file = jvm.org.apache.hadoop.fs.Path(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name)).toString())
+        stream, codec = file.getFileSystem(conf).open(file), codecs.getCodec(file)
+        text = jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
+        reader = jvm.java.io.BufferedReader(text)
+        line = reader.readLine()
+        reader.close()
+        if line is not None and line.startswith(BANNER):
+            return [file.toString(), file.toUri().toString(), name], line
+    raise ValueError(f"no {BANNER} line in {path}")
+
+
+def _without_first_of_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All values but the first one marked as ``head``. A task reads a split in order, so that is the size line."""
+    found = False
+    for batch in batches:
+        at = -1 if found else pc.index(batch.column("head"), True).as_py()
+        values = batch.select(["value"])
+        if at < 0:
+            yield values
+            continue
+        found = True
+        yield values.slice(0, at)
+        yield values.slice(at + 1)
 
 
 def read_mtx(spark: SparkSession, path: str, zero_based: bool = True) -> DataFrame:
     """Edges ``src, dst, weight`` of a MatrixMarket file (or a folder of its parts).
 
-    Two short driver reads find the banner and the size line; the entries are
-    parsed by the executors. ``symmetric`` files also give the mirrored
-    off-diagonal entries, ``pattern`` files get weight 1.
+    The lines are scanned once. The size line is the first content line of the
+    file with the banner, and is left out where it is met; entries equal to it
+    stay. ``symmetric`` files also give the mirrored off-diagonal entries,
+    ``pattern`` files get weight 1. A second file with a banner raises.
     """
-    lines = _parsed_lines(spark, path)
-    banner = lines.where(F.col("value").startswith(BANNER)).select("file", "value").first()
-    if banner is None:
-        raise ValueError(f"no {BANNER} line in {path}")
-    words = banner["value"].lower().split()
+    header, banner = _opening(spark, path)
+    words = banner.lower().split()
+    if len(words) < 5:
+        raise ValueError(f"unsupported MatrixMarket header: {banner}")
     field, symmetry = words[3], words[4]
     if words[2] != "coordinate" or field not in ("pattern", "real", "integer"):
-        raise ValueError(f"unsupported MatrixMarket header: {banner['value']}")
+        raise ValueError(f"unsupported MatrixMarket header: {banner}")
     if symmetry not in ("general", "symmetric"):
         raise ValueError(f"unsupported MatrixMarket symmetry: {symmetry}")
 
+    in_header = F.col("_metadata.file_path").isin(header)
+    second = F.raise_error(F.concat(F.lit(f"a second {BANNER} line, in "), F.col("_metadata.file_path"))).cast("boolean")
     content = ~F.col("value").startswith("%") & (F.trim("value") != "")
-    size = (
-        lines.where(content & (F.col("file") == banner["file"]) & (F.col("block") == 0))
-        .agg(F.min(F.struct("pos", "value")).alias("line"))
-        .first()["line"]
-    )
-    is_size_line = (
-        (F.col("file") == banner["file"])
-        & (F.col("block") == 0)
-        & (F.col("pos") == F.lit(size["pos"]))
-        & (F.col("value") == F.lit(size["value"]))
+    lines = (
+        spark.read.text(path)
+        .select("value", (in_header & (F.col("_metadata.file_block_start") == 0)).alias("head"),
+                F.when(F.col("value").startswith(BANNER) & ~in_header, second).otherwise(content).alias("kept"))
+        .where("kept").select("value", "head")
+        .mapInArrow(_without_first_of_head, "value string")
     )
     part = F.split(F.trim("value"), r"\s+")
     shift = 1 if zero_based else 0
@@ -54,7 +81,7 @@ def read_mtx(spark: SparkSession, path: str, zero_based: bool = True) -> DataFra
     def entry(index: int, kind: str) -> Column:
         return part.getItem(index).cast(kind)
 
-    edges = lines.where(content & ~is_size_line).select(
+    edges = lines.select(
         (entry(0, "bigint") - shift).alias("src"),
         (entry(1, "bigint") - shift).alias("dst"),
         (F.lit(1.0) if field == "pattern" else entry(2, "double")).alias("weight"),

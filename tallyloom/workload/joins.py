@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.operators.aggregates import categories_of, column_stats, group_mean, group_stats, pivot_mean, sum_of_product
 from tallyloom.operators.factorised import Side, joined_pivot
-from tallyloom.operators.partitions import map_part_rows, part_counts, part_head, part_means, replicate_rows, total_rows, union_parts
+from tallyloom.operators.partitions import map_part_rows, part_counts, part_head, part_means, replicate_rows, total_rows, union_parts, union_totals
 from tallyloom.plans import join_average, part_stats, wide_pivot
 from tallyloom.sources.datagen import category_dimension
 from tallyloom.workload.registry import query, table
@@ -164,6 +164,20 @@ def union_of_parts(spark: SparkSession, sf: str) -> DataFrame:
     return whole.groupBy("event_type").agg(F.count("*").alias("n_rows"), F.round(F.sum("value"), 2).alias("total"))
 
 
+_OVERLAPPING = {"high": "value > 50", "even": "event_id % 2 = 0", "typed": "event_type IS NOT NULL"}
+
+
+@query(
+    "SELECT part, event_type, count(*) AS n_rows, round(sum(value), 2) AS value FROM ("
+    + " UNION ALL ".join(f"SELECT '{name}' AS part, event_type, value FROM events WHERE {test}" for name, test in _OVERLAPPING.items())
+    + ") GROUP BY ALL"
+)
+def union_of_overlapping_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals over the union of three overlapping parts, in one scan."""
+    parts = {name: F.expr(test) for name, test in _OVERLAPPING.items()}
+    return union_totals(table(spark, sf, "events"), parts, ["event_type"], ["value"]).withColumn("value", F.round("value", 2))
+
+
 @query("SELECT event_type, count(*) * 10 AS n_rows, round(sum(value) * 10, 2) AS total FROM events GROUP BY event_type")
 def replicated_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = replicate_rows(table(spark, sf, "events").select("event_type", "value"), 10)

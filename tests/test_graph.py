@@ -1,3 +1,5 @@
+import gzip
+
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,6 +161,28 @@ def test_mtx_in_many_splits(spark, tmp_path, rows):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_mtx_is_scanned_once(spark, tmp_path, rows):
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    with gzip.open(folder / "part-0.mtx.gz", "wt") as f:
+        f.write("%%MatrixMarket matrix coordinate integer general\n%\n\n3 3 2\n3 3 2\n")
+    (folder / "part-1.mtx").write_text("1 2 4\n")
+    edges = read_mtx(spark, str(folder))
+    assert rows(edges) == [(0, 1, 4.0), (2, 2, 2.0)]
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Exchange" not in plan
+    (folder / "part-2.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n3 3 0\n")
+    with pytest.raises(Exception, match="second %%MatrixMarket"):
+        read_mtx(spark, str(folder)).collect()
+
+
+def test_row_normalise_makes_the_edges_once(spark, rows):
+    made = spark.range(60).selectExpr("id % 3 AS a", "id % 5 AS b", "1.0D AS w")
+    normal = graph.row_normalise(graph.directed_graph(made, "a", "b", "w"))
+    assert "Range" not in normal._jdf.queryExecution().executedPlan().toString()
+    assert {r["s"] for r in normal.groupBy("src").agg(F.round(F.sum("weight"), 9).alias("s")).collect()} == {1.0}
+
+
 @pytest.mark.parametrize("header", ["%%MatrixMarket matrix array real general", "%%MatrixMarket matrix coordinate complex general", "no banner"])
 def test_mtx_rejects_other_headers(spark, tmp_path, header):
     path = tmp_path / "g.mtx"

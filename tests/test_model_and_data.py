@@ -67,6 +67,23 @@ def test_wide_table(spark):
     assert [r[0] for r in narrow.select("col1").limit(16).collect()] == [*datagen.WIDE_CATEGORIES, "A"]
 
 
+def test_wide_cells_are_the_cells_of_the_wide_table(spark):
+    base = spark.createDataFrame([(0,), (-7,), (2**40 + 3,), (2**63 - 1,), (-(2**63),), (None,)], "id bigint")
+    wide = datagen.wide(base, columns=30)
+    sums = {r["column_number"]: (r["n_rows"], r["total"]) for r in datagen.column_sums(datagen.wide_cells(base, columns=30, tasks=3)).collect()}
+    whole = wide.agg(*[F.sum(f"col{i}").alias(f"col{i}") for i in range(2, 30)]).first()
+    assert sums == {i: (5, whole[f"col{i}"]) for i in range(2, 30)}
+    assert datagen.column_sums(datagen.wide_cells(base.limit(0), columns=30)).isEmpty()
+
+
+def test_hashed_values_are_spread_evenly(spark):
+    u = spark.range(20_000).select(*[scalars.uniform("id", s).alias(f"u{s}") for s in (1, 2, 3, 100)]).toPandas()
+    assert u.min().min() >= 0 and u.max().max() < 1
+    assert abs(u.mean() - 0.5).max() < 0.01 and abs(u.std() - 12**-0.5).max() < 0.01
+    assert (abs(u.corr()) - (u.corr() == 1)).max().max() < 0.03
+    assert abs(u["u1"].corr(u["u1"].shift(1))) < 0.03
+
+
 def test_retail_tables(spark):
     made = datagen.retail_tables(spark, scale=0.01, products=500)
     counts = {n: df.count() for n, df in made.items()}

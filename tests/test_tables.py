@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import scratch, session
 from tallyloom.operators import clean, topk
+from tallyloom.operators.partitions import union_of_conditions, union_parts, union_totals
 from tallyloom.sinks import tables, writers
 from tallyloom.sources import readers
 
@@ -100,3 +101,14 @@ def test_gather_refuses_to_cut(spark):
     assert len(writers.gather(spark.range(5), 5)) == 5
     with pytest.raises(ValueError, match="more than 4"):
         writers.gather(spark.range(5), 4)
+
+
+def test_union_of_conditions_in_one_scan(spark, rows):
+    made = spark.createDataFrame([(1, "a", 1.0), (2, None, None), (2, "a", 4.0), (None, "b", 8.0)], "n int, k string, v double")
+    parts = {"two": F.col("n") == 2, "any": F.lit(True), "a": F.col("k") == "a", "none": F.lit(False)}
+    literal = union_parts([made.where(test).withColumn("part", F.lit(name)) for name, test in parts.items()])
+    tagged = union_of_conditions(made, parts)
+    assert rows(tagged, "part", "n", "k", "v") == rows(literal, "part", "n", "k", "v")
+    expected = literal.groupBy("part", "k").agg(F.count("*").alias("n_rows"), F.sum("v").alias("v"))
+    assert rows(union_totals(made, parts, ["k"], ["v"]), "part", "k", "n_rows", "v") == rows(expected, "part", "k", "n_rows", "v")
+    assert union_totals(made.limit(0), parts, ["k"], ["v"]).isEmpty()
