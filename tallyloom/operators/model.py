@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def hash_split(
@@ -52,6 +52,70 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return scored.withColumn("prediction", F.when(~reduce(or_, missing), F.col("prediction")))
 
 
+NODES = "tree int, node int, feature string, threshold double, low int, high int, votes array<double>"
+
+
+def forest_nodes(model: PipelineModel) -> DataFrame:
+    """The fitted forest as a table, one row per node; node 0 is the root of its tree.
+
+    A row whose ``feature`` is at most ``threshold`` goes on to node ``low``,
+    otherwise to ``high``. Leaves have ``votes``, the share of each class. The
+    table has at most ``trees * 2 ** (depth + 1)`` rows.
+    """
+    names, rows = model.stages[0].getInputCols(), []
+    for number, tree in enumerate(model.stages[-1].trees):
+        waiting, made = [tree._call_java("rootNode")], 0
+        while waiting:
+            node = waiting.pop(0)
+            at, open_rows = made, len(waiting)
+            made += 1
+            if node.subtreeDepth():
+                split = node.split()
+                low = made + open_rows  # children follow all nodes that wait already
+                rows.append((number, at, names[split.featureIndex()], split.threshold(), low, low + 1, None))
+                waiting += [node.leftChild(), node.rightChild()]
+            else:
+                counts = list(node.impurityStats().stats())
+                whole = sum(counts)
+                rows.append((number, at, None, None, None, None, [c / whole if whole else 0.0 for c in counts]))
+    return SparkSession.active().createDataFrame(rows, NODES)
+
+
+def predict_by_nodes(nodes: DataFrame, df: DataFrame, required: Sequence[str] | None = None) -> DataFrame:
+    """Every row with the ``prediction`` of a forest given as nodes; null where a required feature is null or NaN.
+
+    By default the features that the nodes ask for are required; :func:`predict`
+    requires all it was fitted on.
+
+    Trees become nested conditions in compiled code, without vectors. The class
+    with the largest sum of votes wins, the first of equal ones.
+    """
+    trees: dict[int, dict] = {}
+    for row in nodes.collect():  # bounded by the size of the forest
+        trees.setdefault(row["tree"], {})[row["node"]] = row
+    asked = {n["feature"] for tree in trees.values() for n in tree.values() if n["feature"] is not None}
+    features = sorted(asked if required is None else asked | set(required))
+
+    def quoted(name: str) -> str:
+        return "`" + name.replace("`", "``") + "`"
+
+    def rule(tree: dict, at: int) -> str:
+        n = tree[at]
+        if n["feature"] is None:
+            return "array(" + ", ".join(f"{v!r}D" for v in n["votes"]) + ")"
+        return f"if(CAST({quoted(n['feature'])} AS double) <= {n['threshold']!r}D, {rule(tree, n['low'])}, {rule(tree, n['high'])})"
+
+    columns = [f"_tree{t}" for t in sorted(trees)]
+    voted = df.selectExpr("*", *[f"{rule(trees[t], 0)} AS _tree{t}" for t in sorted(trees)])
+    classes = max(len(n["votes"]) for tree in trees.values() for n in tree.values() if n["votes"] is not None)
+    sums = ", ".join(" + ".join(f"{c}[{k}]" for c in columns) for k in range(classes))
+    voted = voted.selectExpr(*[quoted(c) for c in df.columns], f"array({sums}) AS _votes")
+    best = F.expr("CAST(array_position(_votes, array_max(_votes)) - 1 AS double)")
+    missing = [F.col(quoted(c)).isNull() | F.isnan(F.col(quoted(c)).cast("double")) for c in features]
+    known = F.when(~reduce(or_, missing), best) if missing else best
+    return voted.withColumn("prediction", known).drop("_votes")
+
+
 def accuracy(predictions: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
     """Share of rows predicted right next to the share of the commonest label, as one row.
 

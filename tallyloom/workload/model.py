@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.operators import model as ops
 from tallyloom.plans.classifier import score_scaled
-from tallyloom.scratch import scratch_path
+from tallyloom.scratch import materialise, scratch_path
 from tallyloom.workload.registry import query, table
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -75,7 +75,7 @@ def rf_predict(spark: SparkSession, sf: str) -> DataFrame:
 def rf_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """The counted accuracy next to the evaluator's."""
     forest, test = _fitted(spark, sf)
-    predictions = ops.predict(forest, test)
+    predictions = materialise(ops.predict(forest, test).select("returned", "prediction"), "predictions")
     return ops.accuracy(predictions, "returned").withColumn("evaluator", F.lit(ops.evaluator_accuracy(predictions, "returned")))
 
 
@@ -96,3 +96,33 @@ def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     first = ops.predict(forest, table(spark, sf, "lineitem").select(*FEATURES)).withColumnRenamed("prediction", "first")
     second = ops.predict(ops.load_model(path), first)
     return second.agg(F.count("*").alias("n_rows"), F.count_if(F.col("first") == F.col("prediction")).alias("n_equal"))
+
+
+@query("SELECT (SELECT count(*) FROM lineitem) AS n_rows, (SELECT count(*) FROM lineitem) AS n_equal")
+def rf_nodes_agree(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of the fitted forest and of its table of nodes, row by row."""
+    forest, _ = _fitted(spark, sf)
+    first = ops.predict(forest, table(spark, sf, "lineitem").select(*FEATURES)).withColumnRenamed("prediction", "first")
+    second = ops.predict_by_nodes(ops.forest_nodes(forest), first)
+    return second.agg(F.count("*").alias("n_rows"), F.count_if(F.col("first") == F.col("prediction")).alias("n_equal"))
+
+
+# Three small trees: quantity and discount, tax, quantity; votes for the classes 0 and 1.
+_STUMPS = [
+    (0, 0, "l_quantity", 25.0, 1, 2, None), (0, 1, None, None, None, None, [0.75, 0.25]), (0, 2, "l_discount", 0.05, 3, 4, None),
+    (0, 3, None, None, None, None, [0.5, 0.5]), (0, 4, None, None, None, None, [0.125, 0.875]),
+    (1, 0, "l_tax", 0.02, 1, 2, None), (1, 1, None, None, None, None, [0.25, 0.75]), (1, 2, None, None, None, None, [0.625, 0.375]),
+    (2, 0, "l_quantity", 40.0, 1, 2, None), (2, 1, None, None, None, None, [0.5, 0.5]), (2, 2, None, None, None, None, [0.375, 0.625]),
+]
+
+
+@query(
+    """WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+              CASE WHEN l_quantity <= 25 THEN 0.25 WHEN l_discount <= 0.05 THEN 0.5 ELSE 0.875 END
+              + CASE WHEN l_tax <= 0.02 THEN 0.75 ELSE 0.375 END + CASE WHEN l_quantity <= 40 THEN 0.5 ELSE 0.625 END AS ones FROM lineitem)
+       SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CASE WHEN ones > 1.5 THEN 1 ELSE 0 END AS DOUBLE) AS prediction FROM v"""
+)
+def nodes_predict(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of a given forest; equal votes go to the first class."""
+    nodes = spark.createDataFrame(_STUMPS, ops.NODES)
+    return ops.predict_by_nodes(nodes, _labelled(spark, sf)).select(*KEY, "prediction")

@@ -125,3 +125,10 @@ def test_rows_with_a_missing_feature_are_kept_when_scoring(spark):
     measured = ops.accuracy(scored, "y").first()
     assert measured["n_rows"] == 200 and abs(measured["accuracy"] - ops.evaluator_accuracy(scored, "y")) < 1e-12
     assert classifier.score_scaled(model, df, ["a", "b"], times=3).count() == 600
+    nodes = ops.forest_nodes(model)
+    again = ops.predict_by_nodes(nodes, scored.withColumnRenamed("prediction", "first"), ["a", "b"])
+    assert again.count() == 200 and again.where("not first <=> prediction").isEmpty()
+    leaves, inner = (nodes.where(f"feature is {kind}").count() for kind in ("null", "not null"))
+    assert leaves == inner + 3 and nodes.groupBy("tree", "node").count().where("count > 1").isEmpty()
+    with_odd_name = again.select("id", F.col("a"), F.col("b"), F.lit(1).alias("x.y"))
+    assert ops.predict_by_nodes(nodes, with_odd_name.limit(0)).columns == ["id", "a", "b", "x.y", "prediction"]
