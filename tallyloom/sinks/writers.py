@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 
@@ -17,6 +20,23 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def _one_array_per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.record_batch({"value": ["[" + ",".join(batch.column(0).to_pylist()) + "]"]})
+
+
+def write_json_arrays(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON files whose lines are arrays of objects, as :func:`tallyloom.sources.readers.read_json` takes them.
+
+    An array holds one Arrow batch, which Spark bounds in rows and bytes, so a
+    large file is several arrays. Null fields are left out; an empty table gives
+    no array.
+    """
+    objects = df.select(F.to_json(F.struct("*")).alias("value"))
+    objects.mapInArrow(_one_array_per_batch, "value string").write.mode(mode).text(path)
+
+
 def write_sorted(df: DataFrame, path: str, *order: Column) -> None:
     """Global sort, then parquet: reading the part files by name gives the sorted rows.
 

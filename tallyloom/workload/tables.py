@@ -59,6 +59,13 @@ def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_json(spark, path, part.schema)
 
 
+@query("SELECT * FROM part")
+def json_array_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    part, path = table(spark, sf, "part"), scratch_path(spark, "json")
+    writers.write_json_arrays(part, path)
+    return readers.read_json(spark, path, part.schema)
+
+
 @query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS stored_rank FROM orders")
 def sorted_write(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "sorted")

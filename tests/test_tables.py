@@ -112,3 +112,13 @@ def test_union_of_conditions_in_one_scan(spark, rows):
     expected = literal.groupBy("part", "k").agg(F.count("*").alias("n_rows"), F.sum("v").alias("v"))
     assert rows(union_totals(made, parts, ["k"], ["v"]), "part", "k", "n_rows", "v") == rows(expected, "part", "k", "n_rows", "v")
     assert union_totals(made.limit(0), parts, ["k"], ["v"]).isEmpty()
+
+
+def test_json_arrays(spark, rows, tmp_path):
+    made = spark.createDataFrame([(1, 'a "quoted",\nline', 1.5), (2, None, None), (None, "[x]", -0.0), (2, None, None)], "n int, s string, v double")
+    path = str(tmp_path / "arrays")
+    writers.write_json_arrays(made.repartition(2), path)
+    assert rows(readers.read_json(spark, path, made.schema)) == rows(made)
+    assert all(r["value"].startswith("[{") and r["value"].endswith("}]") for r in readers.read_text(spark, path).collect())
+    writers.write_json_arrays(made.limit(0), path)
+    assert readers.read_json(spark, path, made.schema).isEmpty()
