@@ -5,8 +5,12 @@ A graph is an edge table ``src, dst, weight`` with one row per pair.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, isqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
@@ -123,21 +127,19 @@ def _one_value_per_vertex(given: DataFrame, vertices: DataFrame, what: str) -> t
     return kept, whole
 
 
-def _vertex_table(edges: DataFrame, edges_per_task: int) -> DataFrame:
-    """Every vertex with the total weight of its out-edges and the pieces they are cut into.
+def _vertex_table(edges: DataFrame) -> DataFrame:
+    """Every vertex with the total weight of its out-edges and its numbers of edges, as source and as target.
 
     Both ends of an edge are summed together, so one partial aggregation finds
     the vertices and their degrees.
     """
     ends = edges.selectExpr(
-        "inline(array(struct(src AS vertex, weight AS w, 1 AS n), struct(dst AS vertex, 0.0D AS w, 0 AS n)))"
-    )
-    return ends.groupBy("vertex").agg(F.expr("sum(w) AS out_weight"), F.expr("sum(n) AS n")).selectExpr(
-        "vertex", "out_weight", f"CAST(greatest(1, ceil(n / {edges_per_task})) AS int) AS pieces"
+        "inline(array(struct(src AS vertex, weight AS w, 1 AS o, 0 AS i), struct(dst AS vertex, 0.0D AS w, 0 AS o, 1 AS i)))"
     )
+    return ends.groupBy("vertex").agg(F.sum("w").alias("out_weight"), F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
 
 
-def _lay_out(edges: DataFrame, nodes: DataFrame, pieces: int) -> tuple[DataFrame, list[str]]:
+def _lay_out(edges: DataFrame, nodes: DataFrame, pieces: int, partitions: int | None = None) -> tuple[DataFrame, list[str]]:
     """Edges partitioned by the columns the shares are joined on, and those columns.
 
     Usually that is the source. If some source has too many out-edges for one
@@ -145,7 +147,7 @@ def _lay_out(edges: DataFrame, nodes: DataFrame, pieces: int) -> tuple[DataFrame
     """
     keys = ["src"]
     # From the stored edges: after the join Spark would guess the product of both sides.
-    partitions = partitions_for(edges)
+    partitions = partitions or partitions_for(edges)
     if pieces > 1:
         heavy = materialise(nodes.where("pieces > 1").selectExpr("vertex AS src", "pieces"), "heavy-sources")
         edges = edges.join(heavy, "src", "left").selectExpr(
@@ -155,6 +157,135 @@ def _lay_out(edges: DataFrame, nodes: DataFrame, pieces: int) -> tuple[DataFrame
     return edges.repartition(partitions, *keys), keys
 
 
+# A block of vertices is one row that holds its columns as packed numbers, in the
+# order of the vertices. Edges between two blocks are packed alike, as positions
+# of sources, positions of targets and weights.
+
+_MOST_VERTICES, _MOST_EDGES, _EDGES_PER_ROW, _LEAST_EDGES = 1 << 18, 1 << 22, 1 << 18, 500_000
+_STATE = "block int, rank binary, teleport binary, out_weight binary, way binary, stuck double, step double"
+_FIRST_STATE = "block int, ids binary, rank binary, teleport binary, out_weight binary, way binary, stuck double, step double"
+_ON, _STUCK = 1, 2  # the way of a rank: on along the edges, or stuck for want of any
+
+
+@dataclass(frozen=True)
+class _Grid:
+    """Vertices lie in ``blocks`` by hash; the edges between blocks in ``rows`` x ``columns`` cells, one task each."""
+
+    blocks: int
+    rows: int
+    columns: int
+
+    def block(self, vertex: str) -> str:
+        return f"CAST(pmod(xxhash64({vertex}), {self.blocks}) AS int)"
+
+
+def _grid(n_vertices: int, n_edges: int, edges_per_task: int, cores: int) -> _Grid:
+    """A nearly square grid: a share goes to one row of cells, and a vertex has its sums from one column."""
+    cells = max(ceil(n_edges / edges_per_task), min(cores, ceil(n_edges / _LEAST_EDGES)), 1)
+    rows = isqrt(cells)
+    columns = ceil(cells / rows)
+    return _Grid(max(ceil(n_vertices / _MOST_VERTICES), 16 * columns if cells > 1 else 1), rows, columns)
+
+
+def _numbers(cell: pa.BinaryScalar, kind: type) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), kind)
+
+
+def _binary(*values: np.ndarray) -> pa.Array:
+    return pa.array([v.tobytes() for v in values], pa.binary())
+
+
+def _cut(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """One binary per stretch of ``values`` that begins at a start."""
+    ends = (np.append(starts, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _ascending(blocks: np.ndarray) -> np.ndarray:
+    """Stable order of block numbers; numpy sorts those of 16 bits by radix."""
+    return np.argsort(blocks.astype(np.uint16) if blocks.max() < 1 << 16 else blocks, kind="stable")
+
+
+def _first_state(table: pa.Table) -> pa.Table:
+    """The vertices of a block as one row, ascending."""
+    order = np.argsort(table["vertex"].to_numpy())
+    ids, rank, teleport, out_weight, way = (table[c].to_numpy()[order] for c in ("vertex", "rank", "teleport", "out_weight", "way"))
+    return pa.table({
+        "block": table["block"].slice(0, 1), "ids": _binary(ids), "rank": _binary(rank), "teleport": _binary(teleport),
+        "out_weight": _binary(out_weight), "way": _binary(way), "stuck": pa.array([float(rank[way == _STUCK].sum())]),
+        "step": pa.array([None], pa.float64()),
+    })
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task, a bounded number at a time, as one row per pair of blocks."""
+
+    def packed() -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held)
+        sb, db, *columns = (whole[c].to_numpy() for c in ("sb", "db", "src", "dst", "weight"))
+        order = _ascending(db)
+        order = order[_ascending(sb[order])]
+        sb, db = sb[order], db[order]
+        starts = np.flatnonzero(np.append(True, (np.diff(sb) != 0) | (np.diff(db) != 0)))
+        cut = [_cut(c[order], starts) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(sb[starts]), pa.array(db[starts]), *cut], ["sb", "db", "src", "dst", "weight"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= _MOST_EDGES:
+            yield packed()
+            held, n = [], 0
+    if n:
+        yield packed()
+
+
+def _placed(rows: DataFrame, ids: DataFrame, end: str, parts: int) -> DataFrame:
+    """Ids of one end of the edges replaced by positions in their block; rows of the same two blocks are merged.
+
+    The edges of a block that are too many for one task are cut into ``parts``
+    by the block of their other end. The sources are placed first.
+    """
+    own, other = ("sb", "db") if end == "src" else ("db", "sb")
+    kinds = {"src": np.int64 if end == "src" else np.int32, "dst": np.int64, "weight": np.float64}
+
+    def place(edges: pa.Table, vertices: pa.Table) -> pa.Table:
+        edges = edges.take(np.argsort(edges[other].to_numpy(), kind="stable"))
+        whole = {c: np.concatenate([np.empty(0, kind), *[_numbers(cell, kind) for cell in edges[c]]]) for c, kind in kinds.items()}
+        known = _numbers(vertices["ids"][0], np.int64)
+        whole[end] = np.searchsorted(known, whole[end]).astype(np.int32)
+        others = np.repeat(edges[other].to_numpy(), [len(cell.as_buffer()) // 8 for cell in edges["weight"]])
+        starts = np.union1d(np.flatnonzero(np.diff(others)) + 1, np.arange(0, len(others), _EDGES_PER_ROW)).astype(np.int64)
+        blocks = {
+            own: pa.array(np.full(len(starts), vertices["block"][0].as_py(), np.int32)),
+            other: pa.array(others[starts].astype(np.int32)),
+        }
+        return pa.table({
+            "sb": blocks["sb"], "db": blocks["db"], **{c: _cut(v, starts) for c, v in whole.items()},
+            "size": pa.array(np.full(len(starts), len(known), np.int32)),
+        })
+
+    left = rows.selectExpr("sb", "db", "src", "dst", "weight", f"{other} % {parts} AS part").groupBy(own, "part")
+    right = ids.selectExpr("block", "ids", f"explode(sequence(0, {parts - 1})) AS part").groupBy("block", "part")
+    return left.cogroup(right).applyInArrow(place, "sb int, db int, src binary, dst binary, weight binary, size int")
+
+
+def _edge_blocks(edges: DataFrame, ids: DataFrame, grid: _Grid, parts: int) -> tuple[DataFrame, list[str]]:
+    """The packed edges in their cells, and the columns that name a cell."""
+    numbered = edges.where("weight IS NOT NULL").selectExpr(
+        f"{grid.block('src')} AS sb", f"{grid.block('dst')} AS db", "src", "dst", "weight"
+    )
+    rows = numbered.mapInArrow(_pack, "sb int, db int, src binary, dst binary, weight binary")
+    rows = _placed(_placed(rows, ids, "src", parts), ids, "dst", parts).selectExpr(
+        f"sb % {grid.rows} AS src", "db AS dst", "struct(sb AS block, src AS sources, dst AS targets, weight, size) AS weight"
+    )
+    lines = edges.sparkSession.range(grid.rows).selectExpr("CAST(id AS int) AS vertex", f"{grid.columns} AS pieces")
+    # Far more partitions than cells, so that two cells seldom share one.
+    laid_out, keys = _lay_out(rows, lines, grid.columns, 8 * grid.rows * grid.columns)
+    return laid_out.select(*keys, F.col("dst").alias("target"), "weight.*").sortWithinPartitions(*keys), keys
+
+
 def pagerank_run(
     edges: DataFrame,
     alpha: float = 0.85,
@@ -163,36 +294,42 @@ def pagerank_run(
     personalisation: DataFrame | None = None,
     nstart: DataFrame | None = None,
     vertices: DataFrame | None = None,
-    edges_per_task: int = 2_000_000,
+    edges_per_task: int = 32_000_000,
 ) -> RankRun:
     """Weighted PageRank by power iteration.
 
     ``personalisation`` and ``nstart`` are tables ``vertex, value``; the first
     one is where a walk restarts (and where walks from vertices without
     out-edges go on), the second one where the iteration starts. Vertices that
-    the graph does not have are left out. Stops when the ranks move by less than
-    ``tol`` in total, or after ``max_iter`` rounds; ``tol=None`` runs them all.
-
-    Each round is one join of the stored edges with the current shares and one
-    sum per target. Shares travel to the edges, not the reverse; a vertex with
-    very many out-edges is cut into pieces, and many in-edges are summed before
-    the shuffle. The state is written to the shared folder after every round.
+    the graph does not have are left out, and so are missing ends of edges.
+    Stops when the ranks move by less than ``tol`` in total, or after
+    ``max_iter`` rounds; ``tol=None`` runs them all.
+
+    Vertices are cut into blocks and edges into a grid of cells, which stay where
+    they are and hold positions in the blocks. A round sends each block of shares
+    to one row of cells, adds up inside the cells, and sends one packed sum per
+    cell and block back: what travels grows with the vertices and the side of
+    the grid, not with the edges. The state is written to the shared folder
+    after every round.
     """
     spark = edges.sparkSession
-    edges = materialise(edges.select("src", "dst", "weight"), "edges")
-    nodes = _vertex_table(edges, edges_per_task)
+    edges = materialise(edges.where("src IS NOT NULL AND dst IS NOT NULL").selectExpr(
+        "CAST(src AS bigint) AS src", "CAST(dst AS bigint) AS dst", "CAST(weight AS double) AS weight"
+    ), "edges")
+    nodes = _vertex_table(edges)
     if vertices is not None:
-        alone = vertices.selectExpr("CAST(vertex AS bigint) AS vertex", "0.0D AS out_weight", "1 AS pieces")
-        nodes = nodes.union(alone).groupBy("vertex").agg(F.expr("max(out_weight) AS out_weight"), F.expr("max(pieces) AS pieces"))
+        alone = vertices.where("vertex IS NOT NULL").selectExpr("CAST(vertex AS bigint) AS vertex", "0.0D AS out_weight", "0L AS n_out", "0L AS n_in")
+        nodes = nodes.union(alone).groupBy("vertex").agg(*[F.max(c).alias(c) for c in ("out_weight", "n_out", "n_in")])
     nodes = materialise(nodes, "vertices")
     counts = nodes.agg(
-        F.count("*").alias("n"), F.count_if(F.col("out_weight") <= 0).alias("dangling"), F.max("pieces").alias("pieces")
+        F.count("*").alias("n"), F.count_if(F.col("out_weight") <= 0).alias("dangling"), F.sum("n_out").alias("edges")
     ).first()
     if not counts["n"]:
         raise ValueError("the graph has no vertices")
+    grid = _grid(counts["n"], counts["edges"], edges_per_task, spark.sparkContext.defaultParallelism)
 
     start = F.lit(1.0 / counts["n"])
-    state = nodes.select("vertex", start.alias("rank"), start.alias("teleport"), "out_weight", "pieces")
+    state = nodes.select("vertex", start.alias("rank"), start.alias("teleport"), "out_weight")
     for given, column, what in ((personalisation, "teleport", "personalisation"), (nstart, "rank", "start vector")):
         if given is not None:
             kept, whole = _one_value_per_vertex(given, nodes, what)
@@ -200,56 +337,96 @@ def pagerank_run(
                 state.drop(column).join(kept, "vertex", "left")
                 .withColumn(column, F.coalesce(F.col("value") / whole, F.lit(0.0))).drop("value")
             )
-    state = materialise(state.withColumn("step", F.lit(None).cast("double")), "ranks")
+    way = f"CAST(CASE WHEN out_weight > 0 THEN {_ON} WHEN out_weight <= 0 THEN {_STUCK} ELSE 0 END AS tinyint) AS way"
+    placed = state.selectExpr(
+        f"{grid.block('vertex')} AS block", "vertex", "rank", "teleport", "coalesce(out_weight, 0.0D) AS out_weight", way
+    )
+    first = materialise(placed.groupBy("block").applyInArrow(_first_state, _FIRST_STATE), "ranks")
+    ids, state = first.select("block", "ids"), first.drop("ids")
 
-    # Laid out once by the join key; every round then moves only the shares.
-    laid_out, keys = _lay_out(edges, nodes, counts["pieces"])
+    per_block = nodes.groupBy(F.expr(grid.block("vertex"))).agg(F.greatest(F.sum("n_out"), F.sum("n_in")).alias("n"))
+    parts = max(1, ceil(per_block.agg(F.max("n")).first()[0] / _MOST_EDGES))
+    # Laid out once; every round then moves only the shares and the sums.
+    laid_out, keys = _edge_blocks(edges, ids, grid, parts)
     resident = laid_out.persist(StorageLevel.MEMORY_AND_DISK)
 
     rounds, delta, converged = 0, None, False
     stuck, _ = _progress(state) if counts["dangling"] else (0.0, None)
     try:
         while rounds < max_iter and not converged:
-            before, state = state, materialise(_next_round(state, resident, keys, alpha, stuck), "ranks")
-            discard(spark, before)
+            before, state = state, materialise(_next_round(state, resident, keys, grid, alpha, stuck), "ranks")
+            if rounds:  # the first state has the ids
+                discard(spark, before)
             rounds += 1
             if counts["dangling"] or tol is not None:
                 stuck, delta = _progress(state)
             converged = tol is not None and delta < tol
     finally:
         resident.unpersist()
-    return RankRun(state.select("vertex", F.col("rank").alias("pagerank")), rounds, delta, converged)
+    ranks = ids.join(state.select("block", "rank"), "block").select("ids", "rank").mapInArrow(_unpack, "vertex bigint, pagerank double")
+    return RankRun(ranks, rounds, delta, converged)
 
 
 def _progress(state: DataFrame) -> tuple[float, float]:
     """Rank held by vertices without out-edges, and how far the ranks moved in the last round.
 
-    Two columns of the stored ranks are read. An ``Observation`` of the write would
+    Two numbers per block of the stored ranks are read. An ``Observation`` of the write would
     spare that, but a session that has used one can no longer fit a forest: its
     tasks then fail with "ObservationManager is not serializable" (Spark 4.1).
     """
-    row = state.agg(F.sum(F.when(F.col("out_weight") <= 0, F.col("rank"))), F.sum("step")).first()
+    row = state.agg(F.sum("stuck"), F.sum("step")).first()
     return row[0] or 0.0, row[1] or 0.0
 
 
-def _next_round(state: DataFrame, edges: DataFrame, keys: list[str], alpha: float, stuck: float) -> DataFrame:
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What every vertex of a block sends along an edge of weight 1."""
+    for batch in batches:
+        for block, rank, out_weight, way in zip(*[batch[c] for c in ("block", "rank", "out_weight", "way")]):
+            rank, on = _numbers(rank, np.float64), _numbers(way, np.int8) == _ON
+            share = np.divide(rank, _numbers(out_weight, np.float64), out=np.zeros_like(rank), where=on)
+            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), _binary(share)], ["block", "share"])
+
+
+def _cell_sums(edges: pa.Table, shares: pa.Table) -> pa.Table:
+    """The inflow of the vertices from the edges of one cell, per block."""
+    share = {block.as_py(): _numbers(values, np.float64) for block, values in zip(shares["block"], shares["share"])}
+    sums: dict[int, np.ndarray] = {}
+    for target, block, sources, targets, weight, size in zip(*[edges[c] for c in ("target", "block", "sources", "targets", "weight", "size")]):
+        sent = share[block.as_py()][_numbers(sources, np.int32)] * _numbers(weight, np.float64)
+        got = np.bincount(_numbers(targets, np.int32), sent, size.as_py())
+        sums[target.as_py()] = sums.get(target.as_py(), 0.0) + got
+    return pa.table({"block": pa.array(list(sums), pa.int32()), "inflow": _binary(*sums.values())})
+
+
+def _next_round(state: DataFrame, edges: DataFrame, keys: list[str], grid: _Grid, alpha: float, stuck: float) -> DataFrame:
     """One round. ``stuck`` restarts everywhere, as the teleport does."""
-    share = ["vertex AS src", "rank / out_weight AS share"]
+    restart = 1.0 - alpha + alpha * stuck
+
+    def move(sums: pa.Table, own: pa.Table) -> pa.Table:
+        old, teleport = (_numbers(own[c][0], np.float64) for c in ("rank", "teleport"))
+        inflow = np.zeros_like(old)
+        for got in sums["inflow"]:
+            inflow += _numbers(got, np.float64)
+        rank = alpha * inflow + restart * teleport
+        held = float(rank[_numbers(own["way"][0], np.int8) == _STUCK].sum())
+        return pa.table({
+            "block": own["block"], "rank": _binary(rank), **{c: own[c] for c in ("teleport", "out_weight", "way")},
+            "stuck": pa.array([held]), "step": pa.array([float(np.abs(rank - old).sum())]),
+        })
+
+    shares = state.select("block", "rank", "out_weight", "way").mapInArrow(_shares, "block int, share binary")
+    sent = ["block", "share", f"block % {grid.rows} AS src"]
     if "salt" in keys:
-        share.append("explode(sequence(0, pieces - 1)) AS salt")
-    shares = state.where("out_weight > 0").selectExpr(*share)
-    carried = {"rank": "double", "teleport": "double", "out_weight": "double", "pieces": "int"}
-    inflow = edges.join(shares, keys).selectExpr(
-        "dst AS vertex", "share * weight AS inflow", *[f"CAST(NULL AS {kind}) AS {c}" for c, kind in carried.items()]
-    )
-    own = state.selectExpr("vertex", "0.0D AS inflow", *carried)
-    summed = inflow.union(own).groupBy("vertex").agg(
-        F.expr("sum(inflow) AS inflow"), *[F.expr(f"max({c}) AS {c}") for c in carried]
-    )
-    rank = f"({alpha!r}D * inflow + {1.0 - alpha + alpha * stuck!r}D * teleport)"
-    return summed.selectExpr(
-        "vertex", f"{rank} AS rank", "teleport", "out_weight", "pieces", f"abs({rank} - rank) AS step"
-    )
+        sent.append(f"explode(sequence(0, {grid.columns - 1})) AS salt")
+    sums = edges.groupBy(*keys).cogroup(shares.selectExpr(*sent).groupBy(*keys)).applyInArrow(_cell_sums, "block int, inflow binary")
+    own = state.select("block", "rank", "teleport", "out_weight", "way")
+    return sums.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(move, _STATE)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, rank in zip(batch["ids"], batch["rank"]):
+            yield pa.RecordBatch.from_arrays([pa.array(_numbers(ids, np.int64)), pa.array(_numbers(rank, np.float64))], ["vertex", "pagerank"])
 
 
 def pagerank(edges: DataFrame, **options) -> DataFrame:

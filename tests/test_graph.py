@@ -199,3 +199,32 @@ def test_layout_of_a_hot_source_is_sized_by_the_edges(spark, monkeypatch):
     laid_out, keys = graph._lay_out(edges, nodes, 4)
     assert keys == ["src", "salt"] and laid_out.select("src", "salt").distinct().count() == 200
     assert asked == [edges] and laid_out.rdd.getNumPartitions() <= partitions_for(edges)
+
+
+def test_a_round_moves_packed_blocks_and_not_edges(spark):
+    """4,000 edges in 6 cells: what a round shuffles are rows per block."""
+    made = [(i % 40, (i * 7 + i // 40) % 300, 1.0 + i % 3) for i in range(4000)]
+    pairs = {}
+    for s, d, w in made:
+        pairs[s, d] = w
+    made = [(s, d, w) for (s, d), w in pairs.items()]
+    df = spark.createDataFrame(made, "src bigint, dst bigint, weight double")
+    grid = graph._grid(300, len(made), -(-len(made) // 6), 4)
+    assert (grid.rows, grid.columns) == (2, 3)
+    seen = []
+    next_round = graph._next_round
+    graph._next_round = lambda *a: seen.append(next_round(*a)) or seen[-1]
+    try:
+        got = ranks_of(graph.pagerank(df, max_iter=3, tol=None, edges_per_task=-(-len(made) // 6)))
+    finally:
+        graph._next_round = next_round
+    want = reference(made, 3)
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want)
+    assert seen[0].count() <= grid.blocks and dict(seen[0].dtypes)["rank"] == "binary"
+
+
+def test_ranks_with_missing_weights_and_ends(spark):
+    made = [(1, 2, 1.0), (2, 1, None), (2, 3, 4.0), (3, 1, None), (None, 1, 1.0), (1, None, 1.0)]
+    got = ranks_of(graph.pagerank(spark.createDataFrame(made, "src bigint, dst bigint, weight double"), max_iter=1, tol=None))
+    # Vertex 3 has out-edges of no weight: its third restarts everywhere.
+    assert {v: round(r, 9) for v, r in got.items()} == {1: 0.144444444, 2: 0.427777778, 3: 0.427777778}
