@@ -35,6 +35,10 @@ def left_join_chain(fact: DataFrame, steps: Sequence[tuple[DataFrame, str]]) ->
     other. The combined table is stored: its size is then known, and
     beyond a broadcast both sides of the join come straight from a shuffle,
     which is what adaptive execution needs to split a skewed partition.
+
+    Groups whose keys the fact itself has are joined in the order of the columns
+    they add, fewest first: the wide ones are then not shuffled again for the
+    next key. The columns come out as in the plain chain.
     """
     grouped: list[tuple[str, list[DataFrame]]] = []
     for table, key in steps:
@@ -42,15 +46,23 @@ def left_join_chain(fact: DataFrame, steps: Sequence[tuple[DataFrame, str]]) ->
             grouped[-1][1].append(table)
         else:
             grouped.append((key, [table]))
+    names = list(fact.columns)
+    for key, tables in grouped:
+        names = [key, *[c for c in names if c != key], *[c for t in tables for c in t.columns if c != key]]
+    own = fact.columns
+    joined = fact
+    if len(set(names)) == len(names) and all(key in own for key, _ in grouped):
+        grouped.sort(key=lambda g: sum(len(t.columns) for t in g[1]))
     for key, tables in grouped:
         if len(tables) == 1:
-            fact = left_join(fact, tables[0], key)
+            joined = left_join(joined, tables[0], key)
             continue
-        asked = materialise(fact.where(F.col(key).isNotNull()).select(key).distinct(), "keys")
+        # The joins so far add no values to the fact's own columns.
+        asked = materialise((fact if key in own else joined).where(F.col(key).isNotNull()).select(key).distinct(), "keys")
         known = [t.join(asked, key, "left_semi") for t in tables]
         combined = materialise(reduce(lambda a, b: a.join(b, key, "full"), known), "combined")
-        fact = left_join(fact, combined, key)
-    return fact
+        joined = left_join(joined, combined, key)
+    return joined if joined.columns == names else joined.select(*names)
 
 
 def repeated_keys(table: DataFrame, key: str) -> DataFrame:

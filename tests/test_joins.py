@@ -219,3 +219,22 @@ def test_categories_are_all_found_or_refused(spark):
     assert categories_of(df, "c") == ["a", "b"]
     with pytest.raises(ValueError):
         categories_of(df, "c", most=1)
+
+
+def test_chain_joins_narrow_tables_first_and_keeps_the_columns(spark, rows):
+    """The wide table's columns are not shuffled for the narrow table's key; repeated and missing keys count as in the plain chain."""
+    fact = spark.createDataFrame([(1, 10, "x"), (1, 11, "y"), (2, 10, "z"), (None, None, "n")], "a int, b int, f string")
+    wide = spark.createDataFrame([(1, "p", "q", "r"), (1, "p2", "q2", "r2"), (3, "u", "v", "w")], "a int, w1 string, w2 string, w3 string")
+    narrow = spark.createDataFrame([(10, 0.5), (10, 0.25)], "b int, n double")
+    plain = fact.join(wide, "a", "left").join(narrow, "b", "left")
+    chained = joins.left_join_chain(fact, [(wide, "a"), (narrow, "b")])
+    assert chained.columns == plain.columns and rows(chained) == rows(plain)
+    outermost = next(line for line in chained._jdf.queryExecution().analyzed().toString().splitlines() if "Join LeftOuter" in line)
+    assert "a#" in outermost and "b#" not in outermost
+
+
+def test_chain_keeps_the_order_where_a_key_comes_from_a_table(spark, rows):
+    fact = spark.createDataFrame([(1, "x"), (2, "y")], "a int, f string")
+    bridge = spark.createDataFrame([(1, 7, "p", "q")], "a int, b int, w1 string, w2 string")
+    last = spark.createDataFrame([(7, 0.5)], "b int, n double")
+    assert rows(joins.left_join_chain(fact, [(bridge, "a"), (last, "b")])) == rows(fact.join(bridge, "a", "left").join(last, "b", "left"))
