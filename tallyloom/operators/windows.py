@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.scratch import materialise
 
-_FIRST, _LAST, _BLANK, _BLOCK = "_first", "_last", "_blank", "_block"
+_FIRST, _LAST, _BLANK, _BLOCK, _SEVERAL = "_first", "_last", "_blank", "_block", "_several"
 
 
 def _per_order_value(
@@ -135,11 +135,12 @@ def running_neighbours(
     """
     mark = F.col(tie[0])
     run = _running(_per_order_value(df, keys, order, value, mark), keys, order)
-    slim = run.select(*keys, order, "running", "before", "after", _FIRST, _LAST, _BLANK)
+    slim = run.select(*keys, order, "running", "before", "after", _FIRST, _LAST, _BLANK, "_rows")
     # A null tie comes before all others.
     first = F.when(F.col(_BLANK), mark.isNull()).otherwise(mark == F.col(_FIRST)).alias(_FIRST)
     last = mark.eqNullSafe(F.col(_LAST)).alias(_LAST)
-    found = _join_back(df, slim, [*keys, order], F.col("running"), F.col("before"), F.col("after"), first, last)
+    several = (F.col("_rows") > 1).alias(_SEVERAL)
+    found = _join_back(df, slim, [*keys, order], F.col("running"), F.col("before"), F.col("after"), first, last, several)
     if not unique_tie:
         found = _one_each(found, [*keys, order], tie)
     return found.select(
@@ -153,10 +154,12 @@ def running_neighbours(
 def _one_each(found: DataFrame, group: Sequence[str], tie: Sequence[str]) -> DataFrame:
     """``found`` with one first and one last row per group, decided by the whole ``tie`` and then by the number of the stored row.
 
-    Only groups with several candidates are looked at again; everything is
-    grouped with partial results, so a tie that very many rows share is no hot task.
+    Only groups with several candidates are looked at again, and only the rows of
+    groups of several rows are shuffled for it; everything is grouped with
+    partial results, so a tie that very many rows share is no hot task.
     """
     stored = materialise(found.withColumn("_row", F.monotonically_increasing_id()), "running-rows")
+    single, stored = stored.filter(~F.col(_SEVERAL)), stored.filter(_SEVERAL)
     edges = stored.filter(F.col(_FIRST) | F.col(_LAST))
     firsts, lasts = (F.sum(F.col(c).cast("int")) for c in (_FIRST, _LAST))
     crowded = edges.groupBy(*group).agg(firsts.alias("_firsts"), lasts.alias("_lasts")).filter("_firsts > 1 or _lasts > 1")
@@ -167,10 +170,11 @@ def _one_each(found: DataFrame, group: Sequence[str], tie: Sequence[str]) -> Dat
         F.min(F.when(F.col(_FIRST), place)).alias("_low"), F.max(F.when(F.col(_LAST), place)).alias("_high")
     )
     picked = materialise(picked.select("*", F.col("_low._row").alias("_at_first"), F.col("_high._row").alias("_at_last")).drop("_low", "_high"), "running-picked")
-    return stored.join(picked, same, "left").withColumns({
+    chosen = stored.join(picked, same, "left").withColumns({
         _FIRST: F.when(F.col("_at_first").isNull(), F.col(_FIRST)).otherwise(F.col("_row") == F.col("_at_first")),
         _LAST: F.when(F.col("_at_last").isNull(), F.col(_LAST)).otherwise(F.col("_row") == F.col("_at_last")),
     })
+    return chosen.select(single.columns).union(single)
 
 
 def neighbour_totals(

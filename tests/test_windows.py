@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
+from tallyloom.operators import windows
 from tallyloom.operators.windows import _per_order_value, in_blocks, neighbour_totals, running_average, running_neighbours
 
 SCHEMA = "id bigint, k string, d int, v double"
@@ -112,3 +113,19 @@ def test_one_hot_key_is_spread_over_blocks(spark, blocks):
 def test_no_sort_aggregate(spark, data):
     plan = running_neighbours(data, ["k"], "d", "v", ["id"], unique_tie=True)._jdf.queryExecution().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in _per_order_value(data, ["k"], "d", "v", F.col("id"))._jdf.queryExecution().toString()
+
+
+def test_days_of_one_row_are_not_grouped_again(spark, rows, monkeypatch):
+    """Only rows of (key, day) groups of several rows are shuffled to choose among them."""
+    data = spark.createDataFrame(
+        [("a", d, 10 * d, "t", i) for d in range(1, 6) for i in range(1 + (d == 3))], "k string, day int, v int, t string, u int"
+    )
+    looked_at, store = [], windows.materialise
+    monkeypatch.setattr(windows, "materialise", lambda df, label: (label == "running-rows" and looked_at.append(df)) or store(df, label))
+    found = windows.running_neighbours(data, ["k"], "day", "v", ["t", "u"])
+    assert [r[0] for r in rows(looked_at[0].where("_several"), "day")] == [3, 3]
+    by_hand = Window.partitionBy("k").orderBy("day")
+    want = data.withColumn("ra", F.avg("v").over(by_hand))
+    w = Window.partitionBy("k").orderBy("day", "t", "u")
+    want = want.select("day", "u", "ra", F.lag("ra").over(w).alias("p"), F.lead("ra").over(w).alias("n"))
+    assert rows(found, "day", "u", "running_avg", "prev_avg", "next_avg") == rows(want)
