@@ -191,16 +191,19 @@ def neighbour_totals(
     Of the n rows with one order value, n-1 see their own running average and
     one sees the neighbour's, so the row-level window is not needed. ``sums``
     names further columns to add up on the way, in the same pass over the rows.
+    The sums per order value are stored, because cutting them into blocks reads
+    them twice; the further ones are added up from there and not windowed.
     """
-    run = _running(_per_order_value(df, keys, order, value, sums=sums), keys, order)
+    stored = materialise(_per_order_value(df, keys, order, value, sums=sums), "order-sums")
+    run = _running(stored.select(*keys, order, "_s", "_c", "_rows"), keys, order)
 
     def summed(neighbour: str) -> Column:
         inner = F.when(F.col("_rows") > 1, (F.col("_rows") - 1) * F.col("running"))
         seen = F.coalesce(inner, F.lit(0.0)) + F.coalesce(F.col(neighbour), F.lit(0.0))
         return F.sum(F.when(inner.isNotNull() | F.col(neighbour).isNotNull(), seen))
 
-    return run.groupBy(*keys).agg(
-        *[F.sum(name).alias(name) for name in sums or {}],
-        summed("before").alias(previous),
-        summed("after").alias(following),
-    )
+    near = run.groupBy(*keys).agg(summed("before").alias(previous), summed("after").alias(following))
+    if not sums:
+        return near
+    whole = stored.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in sums])
+    return _join_back(whole, near, keys, F.col(previous), F.col(following))

@@ -129,3 +129,13 @@ def test_days_of_one_row_are_not_grouped_again(spark, rows, monkeypatch):
     w = Window.partitionBy("k").orderBy("day", "t", "u")
     want = want.select("day", "u", "ra", F.lag("ra").over(w).alias("p"), F.lead("ra").over(w).alias("n"))
     assert rows(found, "day", "u", "running_avg", "prev_avg", "next_avg") == rows(want)
+
+
+def test_totals_carry_only_the_sums_windows_need(spark, data, rows, monkeypatch):
+    """The sums per order value are stored before they are cut into blocks; further sums stay out of the blocks."""
+    stored, store = {}, windows.materialise
+    monkeypatch.setattr(windows, "materialise", lambda df, label: stored.setdefault(label, df) and store(df, label))
+    got = neighbour_totals(data, ["k"], "d", "v", sums={"ids": F.col("id")})
+    assert got.columns == ["k", "ids", "total_prev", "total_next"]
+    assert rows(got, "k", "ids") == rows(data.groupBy("k").agg(F.sum("id").alias("ids")))
+    assert "ids" in stored["order-sums"].columns and "ids" not in stored["running-sums"].columns
