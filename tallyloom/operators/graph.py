@@ -5,16 +5,17 @@ A graph is an edge table ``src, dst, weight`` with one row per pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.scratch import discard, materialise, partitions_for
+from tallyloom.scratch import discard, materialise, partitions_for, shuffles_end_with_their_query
 
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -127,16 +128,16 @@ def _one_value_per_vertex(given: DataFrame, vertices: DataFrame, what: str) -> t
     return kept, whole
 
 
-def _vertex_table(edges: DataFrame) -> DataFrame:
-    """Every vertex with the total weight of its out-edges and its numbers of edges, as source and as target.
+def _vertex_table(edges: DataFrame, n_edges: int) -> DataFrame:
+    """Every vertex with the total weight of its out-edges (null if all edges it has are out-edges without a weight).
 
-    Both ends of an edge are summed together, so one partial aggregation finds
-    the vertices and their degrees.
+    Each task sends the distinct ends of a bounded number of edges, packed, to
+    buckets of about ``_BUCKET_EDGES`` edges.
     """
-    ends = edges.selectExpr(
-        "inline(array(struct(src AS vertex, weight AS w, 1 AS o, 0 AS i), struct(dst AS vertex, 0.0D AS w, 0 AS o, 1 AS i)))"
-    )
-    return ends.groupBy("vertex").agg(F.sum("w").alias("out_weight"), F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    buckets = min(max(ceil(n_edges / _BUCKET_EDGES), min(cores, ceil(n_edges / _LEAST_EDGES)), 1), _MOST_BUCKETS)
+    ends = edges.select("src", "dst", "weight").mapInArrow(_ends(buckets), "bucket int, ids binary, out_weight binary, known binary")
+    return ends.groupBy("bucket").applyInArrow(_add_ends, "vertex bigint, out_weight double")
 
 
 def _lay_out(edges: DataFrame, nodes: DataFrame, pieces: int, partitions: int | None = None) -> tuple[DataFrame, list[str]]:
@@ -158,12 +159,16 @@ def _lay_out(edges: DataFrame, nodes: DataFrame, pieces: int, partitions: int |
 
 
 # A block of vertices is one row that holds its columns as packed numbers, in the
-# order of the vertices. Edges between two blocks are packed alike, as positions
-# of sources, positions of targets and weights.
+# order of the vertices. The edges of a cell are rows of packed positions of
+# sources, positions of targets and weights.
 
-_MOST_VERTICES, _MOST_EDGES, _EDGES_PER_ROW, _LEAST_EDGES = 1 << 18, 1 << 22, 1 << 18, 500_000
+_MOST_VERTICES, _MOST_EDGES, _EDGES_PER_ROW, _LEAST_EDGES = 1 << 18, 1 << 20, 1 << 18, 500_000
+_PLACED_EDGES, _ADDED_EDGES = 1 << 22, 1 << 20
+_BUCKET_EDGES, _MOST_BUCKETS, _NEAR = 1 << 20, 1 << 14, 12
 _STATE = "block int, rank binary, teleport binary, out_weight binary, way binary, stuck double, step double"
 _FIRST_STATE = "block int, ids binary, rank binary, teleport binary, out_weight binary, way binary, stuck double, step double"
+_RAW_ROWS = "task int, slice int, src binary, dst binary, weight binary"
+_PLACED_ROWS = "task int, sources binary, targets binary, weight binary, blocks binary, sizes binary"
 _ON, _STUCK = 1, 2  # the way of a rank: on along the edges, or stuck for want of any
 
 
@@ -178,6 +183,9 @@ class _Grid:
     def block(self, vertex: str) -> str:
         return f"CAST(pmod(xxhash64({vertex}), {self.blocks}) AS int)"
 
+    def cell(self, src: str, dst: str) -> str:
+        return f"{self.block(src)} % {self.rows} * {self.columns} + {self.block(dst)} % {self.columns}"
+
 
 def _grid(n_vertices: int, n_edges: int, edges_per_task: int, cores: int) -> _Grid:
     """A nearly square grid: a share goes to one row of cells, and a vertex has its sums from one column."""
@@ -187,6 +195,53 @@ def _grid(n_vertices: int, n_edges: int, edges_per_task: int, cores: int) -> _Gr
     return _Grid(max(ceil(n_vertices / _MOST_VERTICES), 16 * columns if cells > 1 else 1), rows, columns)
 
 
+@dataclass(frozen=True)
+class _Tasks:
+    """The tasks of the cells: one each, or ``pieces`` for a cell with far more edges than the others."""
+
+    grid: _Grid
+    pieces: list[int]
+
+    def _first(self) -> list[int]:
+        return np.cumsum([0, *self.pieces]).tolist()
+
+    def number(self) -> int:
+        return sum(self.pieces)
+
+    def task(self, src: str, dst: str) -> str:
+        """The task of an edge."""
+        cell = self.grid.cell(src, dst)
+        if max(self.pieces) == 1:
+            return f"CAST({cell} AS int)"
+        at = lambda values: f"element_at(array({', '.join(map(str, values))}), {cell} + 1)"
+        return f"CAST({at(self._first()[:-1])} + pmod(xxhash64({src}, {dst}), {at(self.pieces)}) AS int)"
+
+    def _meeting(self, block: str, lines: list[list[int]]) -> str:
+        first = self._first()
+        tasks = [[t for cell in line for t in range(first[cell], first[cell + 1])] for line in lines]
+        return f"explode(element_at(array({', '.join(f'array{tuple(t)}' if len(t) > 1 else f'array({t[0]})' for t in tasks)}), {block} % {len(lines)} + 1))"
+
+    def of_sources(self, block: str) -> str:
+        """The tasks of the row of cells that a block's out-edges lie in."""
+        rows, columns = self.grid.rows, self.grid.columns
+        return self._meeting(block, [[r * columns + c for c in range(columns)] for r in range(rows)])
+
+    def of_targets(self, block: str) -> str:
+        """The tasks of the column of cells that a block's in-edges lie in."""
+        rows, columns = self.grid.rows, self.grid.columns
+        return self._meeting(block, [[r * columns + c for r in range(rows)] for c in range(columns)])
+
+
+def _tasks(edges: DataFrame, n_edges: int, grid: _Grid, edges_per_task: int) -> _Tasks:
+    """Cells with over twice as many edges as a task should have (hubs do that) are cut into pieces."""
+    pieces = [1] * (grid.rows * grid.columns)
+    if len(pieces) > 1:
+        most = max(edges_per_task, ceil(n_edges / len(pieces)))
+        for cell, n in edges.groupBy(F.expr(grid.cell("src", "dst"))).count().collect():
+            pieces[cell] = ceil(n / most) if n > 2 * most else 1
+    return _Tasks(grid, pieces)
+
+
 def _numbers(cell: pa.BinaryScalar, kind: type) -> np.ndarray:
     return np.frombuffer(cell.as_buffer(), kind)
 
@@ -195,10 +250,30 @@ def _binary(*values: np.ndarray) -> pa.Array:
     return pa.array([v.tobytes() for v in values], pa.binary())
 
 
-def _cut(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """One binary per stretch of ``values`` that begins at a start."""
-    ends = (np.append(starts, len(values)) * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+def _packed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Numbers of 8 bytes as compressed byte planes, without the planes that are all zero; ascending ones as differences."""
+    v = np.ascontiguousarray(values).view(np.uint64)
+    if ascending:
+        v = np.diff(v, prepend=np.uint64(0))
+    used = int(np.bitwise_or.reduce(v)).to_bytes(8, "little") if len(v) else bytes(8)
+    planes = v.view(np.uint8).reshape(-1, 8)
+    kept = [np.ascontiguousarray(planes[:, i]) for i in range(8) if used[i]]
+    mask = sum(1 << i for i in range(8) if used[i])
+    raw = np.concatenate(kept) if kept else np.empty(0, np.uint8)
+    return struct.pack("<BQ", mask, len(v)) + (pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True) if kept else b"")
+
+
+def _unpacked(cell: pa.BinaryScalar, kind: type = np.int64, ascending: bool = False) -> np.ndarray:
+    data = cell.as_buffer()
+    mask, n = struct.unpack("<BQ", data[:9])
+    kept = [i for i in range(8) if mask >> i & 1]
+    v = np.zeros((n, 8), np.uint8)
+    if kept:
+        planes = np.frombuffer(pa.Codec("zstd").decompress(data[9:], n * len(kept)), np.uint8).reshape(-1, n)
+        for plane, i in zip(planes, kept):
+            v[:, i] = plane
+    v = v.reshape(-1).view(np.uint64)
+    return (np.cumsum(v, dtype=np.uint64) if ascending else v).view(kind)
 
 
 def _ascending(blocks: np.ndarray) -> np.ndarray:
@@ -206,84 +281,149 @@ def _ascending(blocks: np.ndarray) -> np.ndarray:
     return np.argsort(blocks.astype(np.uint16) if blocks.max() < 1 << 16 else blocks, kind="stable")
 
 
+def _bounded(step: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``step`` on the edges of a task, a bounded number at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= _MOST_EDGES:
+                whole, held, n = pa.Table.from_batches(held), [], 0
+                yield step(whole)
+        if n:
+            yield step(pa.Table.from_batches(held))
+
+    return run
+
+
+def _ends(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distinct ends of edges per bucket, with the weight that leaves them and whether any of it is known."""
+
+    def step(edges: pa.Table) -> pa.RecordBatch:
+        weight = edges["weight"]
+        there = weight.is_valid().to_numpy()
+        ids, at = np.unique(np.concatenate([edges["src"].to_numpy(), edges["dst"].to_numpy()]), return_inverse=True)
+        sources, targets = np.split(at, 2)
+        out_weight = np.bincount(sources, weight.fill_null(0.0).to_numpy(), len(ids))
+        known = np.zeros(len(ids), np.int64)
+        known[targets] = 1
+        known[sources[there]] = 1
+        # Ids that lie near each other share a bucket, so their differences are short.
+        bucket = ((ids >> _NEAR).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
+        order = _ascending(bucket)
+        cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets))), len(order))
+        rows = [order[a:b] for a, b in zip(cuts, cuts[1:])]
+        columns = [[_packed(ids[r], True) for r in rows], [_packed(out_weight[r]) for r in rows], [_packed(known[r]) for r in rows]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[order][cuts[:-1]].astype(np.int32)), *[pa.array(c, pa.binary()) for c in columns]],
+            ["bucket", "ids", "out_weight", "known"],
+        )
+
+    return _bounded(step)
+
+
+def _add_ends(rows: pa.Table) -> pa.Table:
+    """The vertices of a bucket."""
+    ids, at = np.unique(np.concatenate([_unpacked(x, ascending=True) for x in rows["ids"]]), return_inverse=True)
+    out_weight = np.bincount(at, np.concatenate([_unpacked(x, np.float64) for x in rows["out_weight"]]), len(ids))
+    known = np.zeros(len(ids), bool)
+    known[at[np.concatenate([_unpacked(x) for x in rows["known"]]) > 0]] = True
+    return pa.table({"vertex": ids, "out_weight": pa.array(out_weight, mask=~known)})
+
+
 def _first_state(table: pa.Table) -> pa.Table:
     """The vertices of a block as one row, ascending."""
     order = np.argsort(table["vertex"].to_numpy())
     ids, rank, teleport, out_weight, way = (table[c].to_numpy()[order] for c in ("vertex", "rank", "teleport", "out_weight", "way"))
+    packed = {"ids": _packed(ids, True), "teleport": _packed(teleport), "out_weight": _packed(out_weight), "way": _packed(way.astype(np.int64))}
     return pa.table({
-        "block": table["block"].slice(0, 1), "ids": _binary(ids), "rank": _binary(rank), "teleport": _binary(teleport),
-        "out_weight": _binary(out_weight), "way": _binary(way), "stuck": pa.array([float(rank[way == _STUCK].sum())]),
-        "step": pa.array([None], pa.float64()),
+        "block": table["block"].slice(0, 1), "ids": pa.array([packed["ids"]]), "rank": _binary(rank),
+        **{c: pa.array([packed[c]]) for c in ("teleport", "out_weight", "way")},
+        "stuck": pa.array([float(rank[way == _STUCK].sum())]), "step": pa.array([None], pa.float64()),
     })
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a task, a bounded number at a time, as one row per pair of blocks."""
+def _pack(slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Some edges at a time as one row per task, ascending by source. The rows are dealt to slices in turn."""
 
-    def packed() -> pa.RecordBatch:
-        whole = pa.Table.from_batches(held)
-        sb, db, *columns = (whole[c].to_numpy() for c in ("sb", "db", "src", "dst", "weight"))
-        order = _ascending(db)
-        order = order[_ascending(sb[order])]
-        sb, db = sb[order], db[order]
-        starts = np.flatnonzero(np.append(True, (np.diff(sb) != 0) | (np.diff(db) != 0)))
-        cut = [_cut(c[order], starts) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(sb[starts]), pa.array(db[starts]), *cut], ["sb", "db", "src", "dst", "weight"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = TaskContext.get().partitionId()
 
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= _MOST_EDGES:
-            yield packed()
-            held, n = [], 0
-    if n:
-        yield packed()
+        def step(edges: pa.Table) -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            task, *columns = (edges[c].to_numpy() for c in ("task", "src", "dst", "weight"))
+            order = np.argsort(columns[0])
+            order = order[_ascending(task[order])]
+            task = task[order]
+            cuts = np.append(np.flatnonzero(np.diff(task, prepend=-1)), len(task))
+            rows = [order[a:b] for a, b in zip(cuts, cuts[1:])]
+            packed = [pa.array([_packed(c[r], c is columns[0]) for r in rows], pa.binary()) for c in columns]
+            dealt = pa.array(np.full(len(rows), made % slices, np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(task[cuts[:-1]]), dealt, *packed], ["task", "slice", "src", "dst", "weight"])
 
+        yield from _bounded(step)(batches)
 
-def _placed(rows: DataFrame, ids: DataFrame, end: str, parts: int) -> DataFrame:
-    """Ids of one end of the edges replaced by positions in their block; rows of the same two blocks are merged.
+    return run
 
-    The edges of a block that are too many for one task are cut into ``parts``
-    by the block of their other end. The sources are placed first.
+
+def _place(edges: pa.Table, vertices: pa.Table) -> pa.Table:
+    """The edges of a slice of a task with positions in place of ids.
+
+    Positions count through the blocks of the cell's row, or column, by number.
+    Edges are opened a bounded number at a time.
     """
-    own, other = ("sb", "db") if end == "src" else ("db", "sb")
-    kinds = {"src": np.int64 if end == "src" else np.int32, "dst": np.int64, "weight": np.float64}
-
-    def place(edges: pa.Table, vertices: pa.Table) -> pa.Table:
-        edges = edges.take(np.argsort(edges[other].to_numpy(), kind="stable"))
-        whole = {c: np.concatenate([np.empty(0, kind), *[_numbers(cell, kind) for cell in edges[c]]]) for c, kind in kinds.items()}
-        known = _numbers(vertices["ids"][0], np.int64)
-        whole[end] = np.searchsorted(known, whole[end]).astype(np.int32)
-        others = np.repeat(edges[other].to_numpy(), [len(cell.as_buffer()) // 8 for cell in edges["weight"]])
-        starts = np.union1d(np.flatnonzero(np.diff(others)) + 1, np.arange(0, len(others), _EDGES_PER_ROW)).astype(np.int64)
-        blocks = {
-            own: pa.array(np.full(len(starts), vertices["block"][0].as_py(), np.int32)),
-            other: pa.array(others[starts].astype(np.int32)),
-        }
-        return pa.table({
-            "sb": blocks["sb"], "db": blocks["db"], **{c: _cut(v, starts) for c, v in whole.items()},
-            "size": pa.array(np.full(len(starts), len(known), np.int32)),
-        })
+    found: list[pa.RecordBatch] = []
+    known, layout = {}, {}
+    for end in ("src", "dst") if edges.num_rows else ():
+        own = sorted(((b.as_py(), ids) for e, b, ids in zip(vertices["end"], vertices["block"], vertices["ids"]) if e.as_py() == end), key=lambda x: x[0])
+        blocks = [_unpacked(ids, ascending=True) for _, ids in own]
+        layout[end] = [_packed(np.array(x, np.int64)) for x in ([b for b, _ in own], [len(ids) for ids in blocks])]
+        ids = np.concatenate(blocks)
+        order = np.argsort(ids)
+        known[end] = ids[order], order
+
+    def give(held: list[tuple]) -> None:
+        sources, targets, weight = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(sources)
+        row = [_packed(sources[order], True), _packed(targets[order]), _packed(weight[order]), *layout["dst"]]
+        found.append(pa.RecordBatch.from_arrays([edges["task"].chunk(0).slice(0, 1), *[pa.array([x], pa.binary()) for x in row]], schema=schema))
+
+    schema = pa.schema([("task", pa.int32()), *[(c, pa.binary()) for c in ("sources", "targets", "weight", "blocks", "sizes")]])
+    held, n = [], 0
+    for src, dst, weight in zip(*[edges[c] for c in ("src", "dst", "weight")]):
+        placed = [order[np.searchsorted(ids, _unpacked(cell, ascending=end == "src"))] for (end, (ids, order)), cell in zip(known.items(), (src, dst))]
+        held.append((*placed, _unpacked(weight, np.float64)))
+        n += len(placed[0])
+        if n >= _EDGES_PER_ROW:
+            give(held)
+            held, n = [], 0
+    if n:
+        give(held)
+    return pa.Table.from_batches(found, schema)  # sent back row by row
 
-    left = rows.selectExpr("sb", "db", "src", "dst", "weight", f"{other} % {parts} AS part").groupBy(own, "part")
-    right = ids.selectExpr("block", "ids", f"explode(sequence(0, {parts - 1})) AS part").groupBy("block", "part")
-    return left.cogroup(right).applyInArrow(place, "sb int, db int, src binary, dst binary, weight binary, size int")
 
+def _edge_blocks(edges: DataFrame, ids: DataFrame, tasks: _Tasks, n_edges: int) -> tuple[DataFrame, list[str]]:
+    """The packed edges in their cells, and the columns that name a cell.
 
-def _edge_blocks(edges: DataFrame, ids: DataFrame, grid: _Grid, parts: int) -> tuple[DataFrame, list[str]]:
-    """The packed edges in their cells, and the columns that name a cell."""
-    numbered = edges.where("weight IS NOT NULL").selectExpr(
-        f"{grid.block('src')} AS sb", f"{grid.block('dst')} AS db", "src", "dst", "weight"
-    )
-    rows = numbered.mapInArrow(_pack, "sb int, db int, src binary, dst binary, weight binary")
-    rows = _placed(_placed(rows, ids, "src", parts), ids, "dst", parts).selectExpr(
-        f"sb % {grid.rows} AS src", "db AS dst", "struct(sb AS block, src AS sources, dst AS targets, weight, size) AS weight"
+    The edges travel once with their ids, and once as positions. Positions are
+    looked up in slices of about ``_PLACED_EDGES`` edges of a task.
+    """
+    slices = ceil(n_edges / (tasks.number() * _PLACED_EDGES)) or 1
+    numbered = edges.where("weight IS NOT NULL").selectExpr(f"{tasks.task('src', 'dst')} AS task", "src", "dst", "weight")
+    rows = numbered.mapInArrow(_pack(slices), _RAW_ROWS)
+    own = ids.selectExpr(f"{tasks.of_sources('block')} AS task", "'src' AS end", "block", "ids").union(
+        ids.selectExpr(f"{tasks.of_targets('block')} AS task", "'dst' AS end", "block", "ids")
+    ).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    keys = ["task", "slice"]
+    placed = rows.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(_place, _PLACED_ROWS).selectExpr(
+        "task AS src", "0 AS dst", "struct(sources, targets, weight, blocks, sizes) AS weight"
     )
-    lines = edges.sparkSession.range(grid.rows).selectExpr("CAST(id AS int) AS vertex", f"{grid.columns} AS pieces")
     # Far more partitions than cells, so that two cells seldom share one.
-    laid_out, keys = _lay_out(rows, lines, grid.columns, 8 * grid.rows * grid.columns)
-    return laid_out.select(*keys, F.col("dst").alias("target"), "weight.*").sortWithinPartitions(*keys), keys
+    laid_out, keys = _lay_out(placed, ids, 1, 8 * tasks.number())
+    return laid_out.select(*keys, "weight.*").sortWithinPartitions(*keys), keys
 
 
 def pagerank_run(
@@ -310,59 +450,59 @@ def pagerank_run(
     to one row of cells, adds up inside the cells, and sends one packed sum per
     cell and block back: what travels grows with the vertices and the side of
     the grid, not with the edges. The state is written to the shared folder
-    after every round.
+    after every round, and the shuffle files of a round are deleted after it.
     """
     spark = edges.sparkSession
-    edges = materialise(edges.where("src IS NOT NULL AND dst IS NOT NULL").selectExpr(
-        "CAST(src AS bigint) AS src", "CAST(dst AS bigint) AS dst", "CAST(weight AS double) AS weight"
-    ), "edges")
-    nodes = _vertex_table(edges)
-    if vertices is not None:
-        alone = vertices.where("vertex IS NOT NULL").selectExpr("CAST(vertex AS bigint) AS vertex", "0.0D AS out_weight", "0L AS n_out", "0L AS n_in")
-        nodes = nodes.union(alone).groupBy("vertex").agg(*[F.max(c).alias(c) for c in ("out_weight", "n_out", "n_in")])
-    nodes = materialise(nodes, "vertices")
-    counts = nodes.agg(
-        F.count("*").alias("n"), F.count_if(F.col("out_weight") <= 0).alias("dangling"), F.sum("n_out").alias("edges")
-    ).first()
-    if not counts["n"]:
-        raise ValueError("the graph has no vertices")
-    grid = _grid(counts["n"], counts["edges"], edges_per_task, spark.sparkContext.defaultParallelism)
-
-    start = F.lit(1.0 / counts["n"])
-    state = nodes.select("vertex", start.alias("rank"), start.alias("teleport"), "out_weight")
-    for given, column, what in ((personalisation, "teleport", "personalisation"), (nstart, "rank", "start vector")):
-        if given is not None:
-            kept, whole = _one_value_per_vertex(given, nodes, what)
-            state = (
-                state.drop(column).join(kept, "vertex", "left")
-                .withColumn(column, F.coalesce(F.col("value") / whole, F.lit(0.0))).drop("value")
-            )
-    way = f"CAST(CASE WHEN out_weight > 0 THEN {_ON} WHEN out_weight <= 0 THEN {_STUCK} ELSE 0 END AS tinyint) AS way"
-    placed = state.selectExpr(
-        f"{grid.block('vertex')} AS block", "vertex", "rank", "teleport", "coalesce(out_weight, 0.0D) AS out_weight", way
-    )
-    first = materialise(placed.groupBy("block").applyInArrow(_first_state, _FIRST_STATE), "ranks")
-    ids, state = first.select("block", "ids"), first.drop("ids")
-
-    per_block = nodes.groupBy(F.expr(grid.block("vertex"))).agg(F.greatest(F.sum("n_out"), F.sum("n_in")).alias("n"))
-    parts = max(1, ceil(per_block.agg(F.max("n")).first()[0] / _MOST_EDGES))
-    # Laid out once; every round then moves only the shares and the sums.
-    laid_out, keys = _edge_blocks(edges, ids, grid, parts)
-    resident = laid_out.persist(StorageLevel.MEMORY_AND_DISK)
-
-    rounds, delta, converged = 0, None, False
-    stuck, _ = _progress(state) if counts["dangling"] else (0.0, None)
-    try:
-        while rounds < max_iter and not converged:
-            before, state = state, materialise(_next_round(state, resident, keys, grid, alpha, stuck), "ranks")
-            if rounds:  # the first state has the ids
-                discard(spark, before)
-            rounds += 1
-            if counts["dangling"] or tol is not None:
-                stuck, delta = _progress(state)
-            converged = tol is not None and delta < tol
-    finally:
-        resident.unpersist()
+    with shuffles_end_with_their_query(spark):
+        edges = materialise(edges.where("src IS NOT NULL AND dst IS NOT NULL").selectExpr(
+            "CAST(src AS bigint) AS src", "CAST(dst AS bigint) AS dst", "CAST(weight AS double) AS weight"
+        ), "edges", compression="zstd")
+        n_edges = edges.count()
+        nodes = _vertex_table(edges, n_edges)
+        if vertices is not None:
+            alone = vertices.where("vertex IS NOT NULL").selectExpr("CAST(vertex AS bigint) AS vertex", "0.0D AS out_weight")
+            nodes = nodes.union(alone).groupBy("vertex").agg(F.max("out_weight").alias("out_weight"))
+        nodes = materialise(nodes, "vertices")
+        counts = nodes.agg(F.count("*").alias("n"), F.count_if(F.col("out_weight") <= 0).alias("dangling")).first()
+        if not counts["n"]:
+            raise ValueError("the graph has no vertices")
+        grid = _grid(counts["n"], n_edges, edges_per_task, spark.sparkContext.defaultParallelism)
+
+        start = F.lit(1.0 / counts["n"])
+        state = nodes.select("vertex", start.alias("rank"), start.alias("teleport"), "out_weight")
+        for given, column, what in ((personalisation, "teleport", "personalisation"), (nstart, "rank", "start vector")):
+            if given is not None:
+                kept, whole = _one_value_per_vertex(given, nodes, what)
+                state = (
+                    state.drop(column).join(kept, "vertex", "left")
+                    .withColumn(column, F.coalesce(F.col("value") / whole, F.lit(0.0))).drop("value")
+                )
+        way = f"CAST(CASE WHEN out_weight > 0 THEN {_ON} WHEN out_weight <= 0 THEN {_STUCK} ELSE 0 END AS tinyint) AS way"
+        placed = state.selectExpr(
+            f"{grid.block('vertex')} AS block", "vertex", "rank", "teleport", "coalesce(out_weight, 0.0D) AS out_weight", way
+        )
+        first = materialise(placed.groupBy("block").applyInArrow(_first_state, _FIRST_STATE), "ranks")
+        ids, state = first.select("block", "ids"), first.drop("ids")
+
+        tasks = _tasks(edges, n_edges, grid, edges_per_task)
+        # Laid out once; every round then moves only the shares and the sums. On disk: a cell is read
+        # once a round, in order, and in memory the cells would take the place that tasks need.
+        laid_out, keys = _edge_blocks(edges, ids, tasks, n_edges)
+        resident = laid_out.persist(StorageLevel.DISK_ONLY)
+
+        rounds, delta, converged = 0, None, False
+        stuck, _ = _progress(state) if counts["dangling"] else (0.0, None)
+        try:
+            while rounds < max_iter and not converged:
+                before, state = state, materialise(_next_round(state, resident, keys, tasks, alpha, stuck), "ranks")
+                if rounds:  # the first state has the ids
+                    discard(spark, before)
+                rounds += 1
+                if counts["dangling"] or tol is not None:
+                    stuck, delta = _progress(state)
+                converged = tol is not None and delta < tol
+        finally:
+            resident.unpersist()
     ranks = ids.join(state.select("block", "rank"), "block").select("ids", "rank").mapInArrow(_unpack, "vertex bigint, pagerank double")
     return RankRun(ranks, rounds, delta, converged)
 
@@ -382,43 +522,48 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What every vertex of a block sends along an edge of weight 1."""
     for batch in batches:
         for block, rank, out_weight, way in zip(*[batch[c] for c in ("block", "rank", "out_weight", "way")]):
-            rank, on = _numbers(rank, np.float64), _numbers(way, np.int8) == _ON
-            share = np.divide(rank, _numbers(out_weight, np.float64), out=np.zeros_like(rank), where=on)
+            rank, on = _numbers(rank, np.float64), _unpacked(way) == _ON
+            share = np.divide(rank, _unpacked(out_weight, np.float64), out=np.zeros_like(rank), where=on)
             yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), _binary(share)], ["block", "share"])
 
 
 def _cell_sums(edges: pa.Table, shares: pa.Table) -> pa.Table:
-    """The inflow of the vertices from the edges of one cell, per block."""
-    share = {block.as_py(): _numbers(values, np.float64) for block, values in zip(shares["block"], shares["share"])}
-    sums: dict[int, np.ndarray] = {}
-    for target, block, sources, targets, weight, size in zip(*[edges[c] for c in ("target", "block", "sources", "targets", "weight", "size")]):
-        sent = share[block.as_py()][_numbers(sources, np.int32)] * _numbers(weight, np.float64)
-        got = np.bincount(_numbers(targets, np.int32), sent, size.as_py())
-        sums[target.as_py()] = sums.get(target.as_py(), 0.0) + got
-    return pa.table({"block": pa.array(list(sums), pa.int32()), "inflow": _binary(*sums.values())})
+    """The inflow of the vertices from the edges of one task, per block."""
+    if not edges.num_rows:
+        return pa.table({"block": pa.array([], pa.int32()), "inflow": pa.array([], pa.binary())})
+    sent = sorted(zip(shares["block"].to_pylist(), shares["share"]), key=lambda x: x[0])
+    share = np.concatenate([_numbers(values, np.float64) for _, values in sent])
+    blocks, sizes = (_unpacked(edges[c][0]) for c in ("blocks", "sizes"))
+    inflow = np.zeros(int(sizes.sum()))
+    held, n = [], 0
+    for row, (sources, targets, weight) in enumerate(zip(*[edges[c] for c in ("sources", "targets", "weight")]), 1):
+        held.append((_unpacked(targets), share[_unpacked(sources, ascending=True)] * _unpacked(weight, np.float64)))
+        n += len(held[-1][0])
+        if n >= _ADDED_EDGES or row == edges.num_rows:
+            inflow += np.bincount(*(np.concatenate(c) for c in zip(*held)), len(inflow))
+            held, n = [], 0
+    return pa.table({"block": pa.array(blocks.astype(np.int32)), "inflow": _binary(*np.split(inflow, np.cumsum(sizes)[:-1]))})
 
 
-def _next_round(state: DataFrame, edges: DataFrame, keys: list[str], grid: _Grid, alpha: float, stuck: float) -> DataFrame:
+def _next_round(state: DataFrame, edges: DataFrame, keys: list[str], tasks: _Tasks, alpha: float, stuck: float) -> DataFrame:
     """One round. ``stuck`` restarts everywhere, as the teleport does."""
     restart = 1.0 - alpha + alpha * stuck
 
     def move(sums: pa.Table, own: pa.Table) -> pa.Table:
-        old, teleport = (_numbers(own[c][0], np.float64) for c in ("rank", "teleport"))
+        old, teleport = _numbers(own["rank"][0], np.float64), _unpacked(own["teleport"][0], np.float64)
         inflow = np.zeros_like(old)
         for got in sums["inflow"]:
             inflow += _numbers(got, np.float64)
         rank = alpha * inflow + restart * teleport
-        held = float(rank[_numbers(own["way"][0], np.int8) == _STUCK].sum())
+        held = float(rank[_unpacked(own["way"][0]) == _STUCK].sum())
         return pa.table({
             "block": own["block"], "rank": _binary(rank), **{c: own[c] for c in ("teleport", "out_weight", "way")},
             "stuck": pa.array([held]), "step": pa.array([float(np.abs(rank - old).sum())]),
         })
 
     shares = state.select("block", "rank", "out_weight", "way").mapInArrow(_shares, "block int, share binary")
-    sent = ["block", "share", f"block % {grid.rows} AS src"]
-    if "salt" in keys:
-        sent.append(f"explode(sequence(0, {grid.columns - 1})) AS salt")
-    sums = edges.groupBy(*keys).cogroup(shares.selectExpr(*sent).groupBy(*keys)).applyInArrow(_cell_sums, "block int, inflow binary")
+    sent = shares.selectExpr("block", "share", f"{tasks.of_sources('block')} AS {keys[0]}")
+    sums = edges.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_cell_sums, "block int, inflow binary")
     own = state.select("block", "rank", "teleport", "out_weight", "way")
     return sums.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(move, _STATE)
 
@@ -426,7 +571,7 @@ def _next_round(state: DataFrame, edges: DataFrame, keys: list[str], grid: _Grid
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, rank in zip(batch["ids"], batch["rank"]):
-            yield pa.RecordBatch.from_arrays([pa.array(_numbers(ids, np.int64)), pa.array(_numbers(rank, np.float64))], ["vertex", "pagerank"])
+            yield pa.RecordBatch.from_arrays([pa.array(_unpacked(ids, ascending=True)), pa.array(_numbers(rank, np.float64))], ["vertex", "pagerank"])
 
 
 def pagerank(edges: DataFrame, **options) -> DataFrame:

@@ -1,6 +1,7 @@
 import gzip
 
-
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,53 @@ def test_ranks_with_missing_weights_and_ends(spark):
     got = ranks_of(graph.pagerank(spark.createDataFrame(made, "src bigint, dst bigint, weight double"), max_iter=1, tol=None))
     # Vertex 3 has out-edges of no weight: its third restarts everywhere.
     assert {v: round(r, 9) for v, r in got.items()} == {1: 0.144444444, 2: 0.427777778, 3: 0.427777778}
+
+
+@pytest.mark.parametrize("values,ascending", [
+    (np.array([], np.int64), True), (np.array([-5, -5, 0, 3, 2**62]), True), (np.array([7, -1, 0]), False), (np.zeros(9), False),
+    (np.array([1.0, float("nan"), -0.0, 2.5e-300]), False), (np.arange(1000) * 1000, True),
+])
+def test_packed_numbers_come_back(values, ascending):
+    blob = pa.scalar(graph._packed(values, ascending), pa.binary())
+    got = graph._unpacked(blob, values.dtype.type, ascending)
+    assert got.tobytes() == values.tobytes()
+
+
+def test_edges_travel_and_stay_packed(spark):
+    """An edge between vertices of small numbers takes a few bytes, not sixteen or more."""
+    made = spark.range(300_000).selectExpr("id % 700 AS src", "id * 7 % 9001 AS dst", "1.0D + id % 50 AS weight")
+    seen = []
+    next_round = graph._next_round
+    graph._next_round = lambda *a: seen.append(a[1].selectExpr("sum(length(sources) + length(targets) + length(weight))").first()[0]) or next_round(*a)
+    try:
+        graph.pagerank(made, max_iter=1, tol=None, edges_per_task=100_000)
+    finally:
+        graph._next_round = next_round
+    assert seen[0] < 6 * 300_000
+
+
+def test_cells_of_a_hub_are_cut_into_pieces(spark):
+    made = [(i, 0, 1.0 + i % 3) for i in range(1, 2000)] + [(i, i + 1, 1.0) for i in range(1, 300)]
+    df = spark.createDataFrame(made, "src bigint, dst bigint, weight double")
+    grid = graph._grid(2000, len(made), 300, 4)
+    tasks = graph._tasks(df, len(made), grid, 300)
+    assert tasks.number() > grid.rows * grid.columns
+    sizes = [r["count"] for r in df.groupBy(F.expr(tasks.task("src", "dst"))).count().collect()]
+    assert sum(sizes) == len(made) and max(sizes) <= 600
+    got, want = ranks_of(graph.pagerank(df, max_iter=4, tol=None, edges_per_task=300)), reference(made, 4)
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want)
+
+
+def test_rounds_leave_no_shuffles(spark):
+    def kept():
+        return spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+    made = spark.createDataFrame([(i % 40, i % 301, 1.0) for i in range(2000)], "src bigint, dst bigint, weight double")
+    seen = []
+    next_round = graph._next_round
+    graph._next_round = lambda *a: seen.append(kept()) or next_round(*a)
+    try:
+        graph.pagerank(made, max_iter=6, tol=None, edges_per_task=500)
+    finally:
+        graph._next_round = next_round
+    assert seen[-1] <= seen[2] and "true" != spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
